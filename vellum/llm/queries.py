@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .bpe import encode_decode
 from .common import documents
 from .exact import exact_dedup
+from .language import predict_language
 from .media import media_features
 from .mixing import interleave, mix
+from .near import near_dedup
 from .secrets import secret_scan
 from .token_counts import token_counts
 
 QUERIES = {
     "op2_ogg_media": lambda spark, sf: media_features(documents(spark, sf)),
+    "op3_minhash_forest": lambda spark, sf: near_dedup(documents(spark, sf)),
     "op4_mix_sources": lambda spark, sf: mix(documents(spark, sf)),
     "op5_interleave_shards": lambda spark, sf: interleave(documents(spark, sf)),
+    "op6_byte_bpe": lambda spark, sf: encode_decode(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     "op7_token_counts": lambda spark, sf: token_counts(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model")),
+    "op8_language_mixture": lambda spark, sf: predict_language(documents(spark, sf)),
     "op9_exact_dedup": lambda spark, sf: exact_dedup(documents(spark, sf)),
     "op10_secret_scan": lambda spark, sf: secret_scan(documents(spark, sf)),
 }
