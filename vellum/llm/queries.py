@@ -11,10 +11,12 @@ from .language import predict_language
 from .media import media_features
 from .mixing import interleave, mix
 from .near import near_dedup
+from .repeats import remove_repeats
 from .secrets import secret_scan
 from .token_counts import token_counts
 
 QUERIES = {
+    "op1_suffix_dedup": lambda spark, sf: remove_repeats(documents(spark, sf)).drop("spans"),
     "op2_ogg_media": lambda spark, sf: media_features(documents(spark, sf)),
     "op3_minhash_forest": lambda spark, sf: near_dedup(documents(spark, sf)),
     "op4_mix_sources": lambda spark, sf: mix(documents(spark, sf)),
