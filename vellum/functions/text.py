@@ -276,7 +276,7 @@ def repaired_words(text: Column, vocabulary: Column) -> Column:
     def step(done: Column, cut: Column) -> Column:
         left, right = F.regexp_extract(cut, P.WRAPPED, 1), F.regexp_extract(cut, P.WRAPPED, 2)
         whole = F.concat(left, right)
-        return F.when(right.rlike(r"^\p{Ll}") & F.array_contains(vocabulary, whole), F.replace(done, cut, whole)).otherwise(done)
+        return F.when(right.rlike(r"^\p{Ll}") & F.array_contains(vocabulary, whole), F.regexp_replace(done, F.concat(F.lit(r"(?<!\p{L})\Q"), cut, F.lit(r"\E(?!\p{L})")), whole)).otherwise(done)
 
     return F.aggregate(found, text, step)
 
