@@ -197,3 +197,56 @@ def test_gates_and_reports(spark, tmp_path):
     assert (tmp_path / "manifest.json").exists() and "B ×2: m1" in (tmp_path / "runs/r1/diagnostic.md").read_text()
     twice = report.duplicate_outputs(spark.createDataFrame([("A.md",), ("a.md",), ("b.md",), ("_auditoria/x.md",)], "path string"))
     assert {r.name for r in twice.collect()} == {"a.md", "_auditoria/x.md"}
+
+
+def test_blind_pages(spark):
+    a = spark.createDataFrame([(1, "abc"), (2, "abcde"), (3, "x")], "p int, text string")
+    b = spark.createDataFrame([(1, "abcdefg"), (2, "abcdefghij"), (4, "y")], "p int, text string")
+    assert [tuple(r) for r in geometry.blind_pages(a, b, ["p"]).orderBy("p").collect()] == [(1, "abcdefg", True), (2, "abcde", False), (3, "x", False)]
+
+
+def test_boxes(spark):
+    box = [F.lit(x) for x in (10.0, 10.0, 20.0, 20.0)]
+    lit = lambda *b: F.array(*map(F.lit, b))
+    got = spark.range(1).select(
+        geometry.clipped(box, F.array(lit(0.0, 0.0, 30.0, 30.0), lit(21.0, 0.0, 30.0, 30.0))), geometry.clipped(box, F.array(lit(0.0, 0.0, 30.0, 30.0))), geometry.clipped(box, F.array(lit(20.0, 20.0, 30.0, 30.0))), geometry.clipped(box, F.lit(None).cast("array<array<double>>")),
+    ).first()
+    assert tuple(got) == (True, False, False, False)
+    edges = spark.createDataFrame([(0.0, 100.0, 10.0, 10.4), (5.0, 5.3, 0.0, 90.0), (0.0, 100.0, 10.0, 11.0)], "x0 double, x1 double, top double, bottom double")
+    assert [(round(r.top, 2), round(r.bottom, 2), round(r.x0, 2), round(r.x1, 2)) for r in geometry.straightened(edges).collect()] == [(10.2, 10.2, 0.0, 100.0), (0.0, 90.0, 5.15, 5.15), (10.0, 11.0, 0.0, 100.0)]
+    t = spark.createDataFrame([(0.0, 10.0, 0.0, 21.0), (0.0, 10.0, 0.0, 20.0)], "x0 double, x1 double, top double, bottom double")
+    assert geometry.suspect_rotation(t).count() == 1
+    images = spark.createDataFrame([("d", 1, 0.0, 50.0, 0.0, 60.0), ("d", 2, 0.0, 50.0, 0.0, 59.0)], "doc_id string, page_no int, x0 double, x1 double, top double, bottom double").withColumns({"width": F.lit(100.0), "height": F.lit(1000.0)})
+    assert [r.page_no for r in geometry.image_pages(images).collect()] == [1]
+
+
+def test_margin_pictures(spark):
+    rows = [("d", 1, 1, 280.0, 10.0, 310.0, 40.0), ("d", 2, 1, 280.0, 10.0, 310.0, 80.0), ("d", 3, 2, 280.0, 10.0, 310.0, 40.0), ("d", 4, 1, 10.0, 10.0, 40.0, 40.0)]
+    pictures = spark.createDataFrame(rows, "doc_id string, item_seq int, page_no int, l double, t double, r double, b double").withColumns({"width": F.lit(595.0), "height": F.lit(842.0)})
+    texts = spark.createDataFrame([("d", 1, "BTE 31 | 4"), ("d", 2, "texto")], "doc_id string, page_no int, text string")
+    assert [r.item_seq for r in geometry.margin_pictures(pictures, texts).collect()] == [1]
+
+
+def test_turned_pages(spark):
+    words = spark.createDataFrame([(1, 1, "b", 10.0, 50.0, "btt"), (1, 2, "a", 10.5, 90.0, "btt"), (1, 3, "c", 30.0, 90.0, "btt"), (2, 1, "b", 10.0, 50.0, "ttb"), (2, 2, "c", 10.0, 90.0, "ttb"), (2, 3, "a", 30.0, 10.0, "ttb")], "p int, seq int, text string, x0 double, top double, direction string")
+    assert [(r.p, r.text) for r in geometry.turned_lines(words, ["p"]).orderBy("p", "line_no").collect()] == [(1, "a b"), (1, "c"), (2, "a"), (2, "b c")]
+    for way, want in (("btt", [["e", "c", "a"], ["f", "d", "b"]]), ("ttb", [["b", "d", "f"], ["a", "c", "e"]])):
+        rows = [(1, r, c, v, way) for r, line in enumerate(["ab", "cd", "ef"]) for c, v in enumerate(line)]
+        up = tables.set_upright(spark.createDataFrame(rows, "k int, row_no int, col_no int, text string, direction string"), ["k"])
+        got = {(r.row_no, r.col_no): r.text for r in up.collect()}
+        assert [[got[r, c] for c in range(3)] for r in range(2)] == want
+
+
+def test_line_tolerance(spark):
+    flat = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+    woven = [(1, i, "x", "F", i * 2.0, i * 2.0 + 5, 10.0 + (i % 2) * 2, 20.0, flat) for i in range(10)]
+    plain = [(2, i, "x", "F", i * 6.0, i * 6.0 + 5, 10.0 + (i % 2) * 2, 20.0, flat) for i in range(10)]
+    stairs = [(3, i, "x", "F", i * 2.0, i * 2.0 + 5, 10.0 + i * 2, 20.0, flat) for i in range(10)]
+    got = {r.p: r.tolerance for r in geometry.line_tolerance(glyphs(spark, woven + plain + stairs), ["p"]).collect()}
+    assert got == {1: 1.0, 2: 3.0, 3: 3.0}
+
+
+def test_structure_summary(spark):
+    nodes = spark.createDataFrame([(1, "clausula", "b", 5), (1, "clausula", "a", 1), (1, "anexo", "x", 9)], "doc_id int, tipo string, rotulo string, char_start int")
+    r = report.structure_summary(nodes).first()
+    assert (r.clausula, r.anexo, r.labels) == (2, 1, ["a", "b"])

@@ -304,3 +304,41 @@ def blind_pages(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFra
     both = first.select(*keys, "text").join(second.select(*keys, F.col("text").alias("other")), keys, "left")
     blind = n(F.col("text")) < P.BLIND_SHARE * n(F.col("other"))
     return both.select(*keys, F.when(blind, F.col("other")).otherwise(F.col("text")).alias("text"), blind.alias("blind"))
+
+
+def line_tolerance(chars: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tolerance: what tells interleaved lines apart, or the usual one.
+
+    Where three neighbours or more of a line overlap at different heights, half of the least such height counts if the
+    glyphs then make up two full lines or more.
+    """
+    lines = glyph_lines(chars.filter(T.strip("text") != ""), keys)
+    if "matrix" in chars.columns:
+        lines = lines.filter(upright(F.col("matrix")))
+    row = [*keys, "line_id"]
+    order = Window.partitionBy(*row).orderBy("x0", "seq")
+    width = F.col("x1") - F.col("x0")
+    lines = lines.withColumns({"p_x1": F.lag("x1").over(order), "p_top": F.lag("top").over(order), "p_w": F.lag(width).over(order)})
+    step = F.abs(F.col("top") - F.col("p_top"))
+    over = (F.col("p_x1") - F.col("x0") > 0.3 * F.least("p_w", width)) & (step > 0.3)
+    steps = lines.filter(over).groupBy(*row).agg(F.count("*").alias("n"), (F.min(step) / 2).alias("tolerance")).filter("n >= 3")
+    inside = lines.join(steps.select(*row, "tolerance"), row)
+    up = Window.partitionBy(*row).orderBy("top", "seq")
+    new = F.coalesce((F.col("top") - F.lag("top").over(up) > F.col("tolerance")).cast("int"), F.lit(0))
+    inside = inside.withColumn("new", new).withColumn("part", F.sum("new").over(up))
+    parts = inside.groupBy(*row, "tolerance", "part").agg(F.count("*").alias("n"))
+    full = F.col("n") >= 4
+    good = parts.groupBy(*row, "tolerance").agg(F.sum(full.cast("int")).alias("k"), F.sum(F.when(full, F.col("n")).otherwise(0)).alias("held"), F.sum("n").alias("every"))
+    found = good.filter((F.col("k") >= 2) & (F.col("held") >= 0.8 * F.col("every"))).groupBy(*keys).agg(F.min("tolerance").alias("tolerance"))
+    return chars.select(*keys).distinct().join(found, keys, "left").withColumn("tolerance", F.coalesce("tolerance", F.lit(LINE_TOLERANCE)))
+
+
+def turned_lines(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line_no, text of turned words: lines follow x (falling for `ttb`), words follow the direction of reading."""
+    way = F.when(F.col("direction") == "ttb", -1).otherwise(1)
+    rows = words.withColumns({"across": F.col("x0") * way, "along": F.col("top") * -way})
+    order = Window.partitionBy(*keys).orderBy("across", "seq")
+    new = F.coalesce((F.col("across") - F.lag("across").over(order) > 2).cast("int"), F.lit(0))
+    rows = rows.withColumn("new", new).withColumn("line_no", F.sum("new").over(order) + 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("along", "seq", "text"))), lambda x: x["text"]), " ")
+    return rows.groupBy(*keys, "line_no").agg(text.alias("text"))

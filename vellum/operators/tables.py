@@ -80,3 +80,13 @@ def divergence(reference_tables: Column, text_tables: Column) -> Column:
     """Array of rule names for tables that one reading has and the other lacks; a null reference was not read."""
     lost = (reference_tables > 0) & (text_tables == 0)
     return F.when(lost, F.array(F.lit("TABLE_AUDIT"), F.lit("TABLES_MISSING"))).otherwise(F.array().cast("array<string>"))
+
+
+def set_upright(places: DataFrame, keys: list[str]) -> DataFrame:
+    """grid() places of tables read on a turned page (direction `btt` or `ttb`), with rows and columns as they are read."""
+    page = Window.partitionBy(*keys)
+    h, w = F.max("row_no").over(page), F.max("col_no").over(page)
+    way = F.col("direction")
+    row = F.when(way == "btt", F.col("col_no")).when(way == "ttb", w - F.col("col_no")).otherwise(F.col("row_no"))
+    col = F.when(way == "btt", h - F.col("row_no")).when(way == "ttb", F.col("row_no")).otherwise(F.col("col_no"))
+    return places.withColumns({"row_no": row, "col_no": col})
