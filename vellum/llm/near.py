@@ -3,8 +3,9 @@
 Every distinct shingle set gets TREES labels of DEPTH minima. Each tree's labels are sorted (range partitioning splits a
 hot prefix over tasks); neighbours in that order share the longest prefixes, so they are the first candidates, at whatever
 depth their region of the order allows, LEAST at least. Verified neighbours join into components. Where a region (one tree,
-one prefix of LEAST minima) still holds several components, every pair across them whose sketches agree enough is verified
-as well, in salted blocks, so a single link hidden in a crowded region isn't lost. Links are confirmed on full shingle sets.
+one prefix of LEAST minima) still holds several components, the members whose sketches agree enough across them are compared
+as well, in salted blocks, so a single link hidden in a crowded region isn't lost; a block gives one link for each two
+components that it joins, not every pair. Links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .graph import components
 
 TREES, DEPTH, LEAST = 28, 6, 5
 #: Trees whose neighbours are verified first, and the side of a salted block.
-FIRST, SIDE = 6, 2048
+FIRST, SIDE = 10, 2048
 #: Standard deviations that a sketch's estimate may fall short of the threshold; 4 loses 3 of 100,000 links on the line.
 SLACK = 4.0
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -142,8 +143,8 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["x_tree", "x_prefix", "x_node", "x_near"])
 
 
-def _across(bound: int):
-    """One salted block of a region: pairs of a query and a row in different components whose sketches agree enough."""
+def _candidates(bound: int):
+    """One salted block of a region: the queries and rows that have a pair across components whose sketches agree enough."""
 
     def run(table: pa.Table) -> pa.Table:
         tree = table.column("x_tree")[0].as_py()
@@ -152,17 +153,52 @@ def _across(bound: int):
         minor = table.column("x_minor").to_numpy(zero_copy_only=False).astype(bool)
         sig = np.frombuffer(b"".join(table.column("x_sig").to_pylist()), ">u4").reshape(-1, TREES * DEPTH).astype(np.uint32)
         data = np.flatnonzero(~asks)
-        a, b = [], []
         by_tree = sig.reshape(-1, TREES, DEPTH)
+        hit = np.zeros(len(asks), bool)
         for q in np.flatnonzero(asks):
             near = data[root[data] != root[q]]
             near = near[~minor[near] | (node[near] > node[q])]  # of two queries the smaller asks
             near = near[(sig[near] == sig[q]).sum(1) >= bound]
             if tree and len(near):  # the first tree with a common prefix has the pair
                 near = near[~(by_tree[near, :tree, :LEAST] == by_tree[q, :tree, :LEAST]).all(2).any(1)]
-            a += [node[q]] * len(near)
-            b += node[near].tolist()
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["u", "v"])
+            hit[near] = True
+            hit[q] = len(near) > 0
+        return table.select(["x_tree", "x_prefix", "x_q", "x_d", "x_asks", "x_node", "x_root"]).filter(pa.array(hit))
+
+    return run
+
+
+def _links(share: int):
+    """One salted block with full texts: links across components, at most one for each two that it joins."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root = table.column("x_node").to_pylist(), table.column("x_root").to_pylist()
+        asks = table.column("x_asks").to_numpy(zero_copy_only=False).astype(bool)
+        unpack, place, parent = zstandard.ZstdDecompressor(), {}, {r: r for r in root}
+
+        def find(x: bytes) -> bytes:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        texts = [unpack.decompress(b).decode("utf-8", "surrogatepass") for b in table.column("x_body").to_pylist()]
+        sets = [np.fromiter((place.setdefault(x, len(place)) for x in shingle_set(t)), np.int64) for t in texts]
+        size, data = np.array([len(s) for s in sets]), np.flatnonzero(~asks)
+        mark = np.zeros(len(place), bool)
+        whole = np.concatenate([sets[i] for i in data]) if len(data) else np.zeros(0, np.int64)
+        first = np.concatenate([[0], np.cumsum(size[data])[:-1]]).astype(np.int64) if len(data) else data
+        u, v = [], []
+        for q in np.flatnonzero(asks) if len(data) else ():
+            mark[sets[q]] = True
+            both = np.add.reduceat(mark[whole].astype(np.int32), first)
+            mark[sets[q]] = False
+            for i in data[100 * both >= share * (size[data] + size[q] - both)]:
+                a, b = find(root[q]), find(root[i])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    u.append(node[q])
+                    v.append(node[i])
+        return pa.table([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     return run
 
@@ -249,8 +285,10 @@ def near_dedup(docs: DataFrame, share: int = 80, text: str = "text", id: str = "
     data = placed.select(*names, F.lit(False).alias("x_asks"), salt.alias("x_d"), other.alias("x_q"))
     m, t = TREES * DEPTH, share / 100
     bound = int(np.floor(m * t - SLACK * np.sqrt(m * t * (1 - t))))
-    across = asks.unionByName(data).groupBy(*region, "x_q", "x_d").applyInArrow(_across(bound), "u binary, v binary")
-    more = scratch.save(_verified(across, bodies, share))
+    cell = [*region, "x_q", "x_d"]
+    near = asks.unionByName(data).groupBy(*cell).applyInArrow(_candidates(bound), "x_tree int, x_prefix binary, x_q int, x_d int, x_asks boolean, x_node binary, x_root binary")
+    more = near.join(bodies, "x_node").groupBy(*cell).applyInArrow(_links(share), "u binary, v binary")
+    more = scratch.save(more)
     scratch.drop(bodies, members)
     roots = scratch.save(components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), scratch))
 
