@@ -53,5 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        docs = scratch.save(out)
+        kept = scratch.save(out)
+        scratch.drop(docs)
+        docs = kept
     return docs

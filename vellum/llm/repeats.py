@@ -10,6 +10,7 @@ In its shard, equal pieces are one, with a count; the others are sorted as suffi
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .common import Scratch, blocks, utf8
 from .suffixes import Shard
 
 LENGTH, GRAM = 400, 32
+#: An anchor with one piece in so many is frequent.
+HEAVY = 1024
 #: Positions in a keyed gram; longer texts are cut into parts of PART string starts.
 PLACE = np.uint64((1 << 24) - 1)
 PART = 4 << 20
@@ -145,7 +148,10 @@ def _bodies(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["x_key", "x_body"])
 
 
-_PIECES = "x_f long, x_same binary, x_left long, x_right long, x_key binary, x_start int, x_count int, x_bytes binary"
+_PIECES = "x_f long, x_same binary, x_left long, x_right long, x_count int, x_at array<struct<x_key:binary,x_start:int>>, x_bytes binary"
+_PIECE_TYPES = (
+    pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("x_key", pa.binary()), ("x_start", pa.int32())])), pa.binary(),
+)
 
 
 def _short(b: bytes) -> int:
@@ -153,7 +159,7 @@ def _short(b: bytes) -> int:
 
 
 def _cut(length: int):
-    """The pieces of texts: the bytes only where a task first sees them.
+    """The distinct pieces of some texts with all places of each; the bytes only where a task first sees them.
 
     A string has half of length - GRAM bytes left or right of its anchor's gram; x_left and x_right are digests of those
     halves with the gram, null where the piece is too short for any such string.
@@ -162,85 +168,101 @@ def _cut(length: int):
 
     def run(batches):
         unpack, seen = zstandard.ZstdDecompressor(), set()
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            own: dict[bytes, tuple] = {}
             for key, body, hits in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 raw = unpack.decompress(body)
-                out = []
-                if len(seen) > 1_000_000:
-                    seen.clear()
                 for h in hits:
                     start, end, anchor = h["x_start"], h["x_start"] + h["x_count"] + length - 1, h["x_anchor"]
                     piece = raw[start:end]
                     same = hashlib.blake2b(piece, digest_size=16).digest()
-                    fresh = same not in seen
-                    seen.add(same)
-                    left = _short(raw[anchor - half : anchor + GRAM]) if anchor - half >= start else None
-                    right = _short(raw[anchor : anchor + GRAM + half]) if anchor + GRAM + half <= end else None
-                    out.append((h["x_f"], same, left, right, key, start, h["x_count"], piece if fresh else None))
-                if out:
-                    types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-                    names = ["x_f", "x_same", "x_left", "x_right", "x_key", "x_start", "x_count", "x_bytes"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                    if same not in own:
+                        left = _short(raw[anchor - half : anchor + GRAM]) if anchor - half >= start else None
+                        right = _short(raw[anchor : anchor + GRAM + half]) if anchor + GRAM + half <= end else None
+                        own[same] = (h["x_f"], same, left, right, h["x_count"], [], None if same in seen else piece)
+                    own[same][5].append({"x_key": key, "x_start": start})
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.update(own)
+            if own:
+                names = ["x_f", "x_same", "x_left", "x_right", "x_count", "x_at", "x_bytes"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own.values(), strict=True), _PIECE_TYPES, strict=True)], names)
 
     return run
 
 
+_PLACE = np.dtype([("key", "V16"), ("start", "<i4")])
+
+
 def _sorted_shard(length: int, budget: int):
-    """One shard, its rows sorted by anchor and piece: the repeated intervals of each occurrence of a piece."""
+    """One shard, its rows sorted by anchor and piece: the repeated intervals of each occurrence of a piece.
+
+    Texts, pieces that wait for the end of their anchor, and occurrences lie in files; memory holds a small record for
+    each distinct piece.
+    """
 
     def run(batches):
         shard = Shard(budget)
-        places: list[list] = []  # [occurrences, strings, place in the shard's text or -1, left, right, bytes] of each distinct piece
-        anchor, opened = None, 0
+        waiting, spool = open(os.path.join(shard.folder, "waiting"), "w+b"), open(os.path.join(shard.folder, "places"), "w+b")  # noqa: SIM115
+        done: list[tuple] = []  # strings, place in the shard's text or -1, first occurrence, occurrences
+        open_: list[list] = []  # the same of the anchor at hand, with left, right, place and size among the waiting
+        anchor, last, held = None, None, 0
 
         def close() -> None:
             """Ends an anchor: pieces with a half that another piece shares go into the text."""
-            own = places[opened:]
-            if len(own) > 1:
-                halves: dict = {}
-                for p in own:
-                    for side in (3, 4):
-                        if p[side] is not None:
-                            halves[side, p[side]] = halves.get((side, p[side]), 0) + 1
-                for p in own:
-                    if any(halves.get((side, p[side]), 0) > 1 for side in (3, 4)):
-                        p[2] = shard.add(p[5])
-            for p in own:
-                del p[3:]
+            halves: dict = {}
+            for p in open_ if len(open_) > 1 else ():
+                for half in ((0, p[4]), (1, p[5])):
+                    halves[half] = halves.get(half, 0) + (half[1] is not None)
+            for p in open_:
+                if max(halves.get((0, p[4]), 0), halves.get((1, p[5]), 0)) > 1:
+                    waiting.seek(p[6])
+                    p[1] = shard.add(waiting.read(p[7]))
+                done.append(tuple(p[:4]))
+            open_.clear()
+            waiting.seek(0)
+            waiting.truncate()
 
         def batch_of(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int32()), strict=True)], ["x_key", "x_a", "x_b"])
 
         try:
-            last = None
             for batch in batches:
-                for f, same, left, right, key, start, count, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for f, same, left, right, count, at, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     if f != anchor:
                         close()
-                        anchor, opened, last = f, len(places), None
+                        anchor, last = f, None
                     if same != last:
-                        places.append([[], count, -1, left, right, data])
+                        open_.append([count, -1, held, 0, left, right, waiting.tell(), len(data)])
+                        waiting.write(data)
                         last = same
-                    places[-1][0].append((key, start))
+                    spool.write(np.array([(p["x_key"], p["x_start"]) for p in at], _PLACE).tobytes())
+                    open_[-1][3] += len(at)
+                    held += len(at)
             close()
             flags = shard.repeated(length)
+            spool.flush()
+            places = np.memmap(spool.name, _PLACE, "r", shape=(held,)) if held else np.zeros(0, _PLACE)
             out = []
-            for where, count, at in places:
-                if len(where) > 1:
+            for count, at, first, n in done:
+                if n > 1:
                     runs = [(0, count + length - 1)]
                 elif at < 0:
                     continue
                 else:
                     hit = np.flatnonzero(np.diff(np.concatenate([[False], flags[at : at + count], [False]]).astype(np.int8)))
                     runs = [(a, b + length - 1) for a, b in hit.reshape(-1, 2).tolist()]
-                for key, start in where:
-                    out += [(key, start + a, start + b) for a, b in runs]
-                if len(out) > 50_000:
-                    yield batch_of(out)
-                    out = []
+                for k in range(first, first + n, 10_000):
+                    some = places[k : min(first + n, k + 10_000)]
+                    out += [(key.tobytes(), start + a, start + b) for key, start in zip(some["key"], some["start"].tolist(), strict=True) for a, b in runs]
+                    if len(out) > 50_000:
+                        yield batch_of(out)
+                        out = []
             if out:
                 yield batch_of(out)
         finally:
+            waiting.close()
+            spool.close()
             shard.close()
 
     return run
@@ -284,9 +306,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id
     scratch = Scratch(spark)
     own = docs.select(F.col(id).cast("long").alias("x_id"), F.col(text).alias("x_text"))
     rows = scratch.save(own.mapInArrow(_scan(length), _SCAN))
-    piece = F.explode(F.arrays_zip("x_f", "x_start", "x_count", "x_anchor")).alias("x_piece")
-    twice = rows.select(F.explode("x_f").alias("x_f")).groupBy("x_f").agg(F.count("*").alias("x_c")).filter("x_c > 1").select("x_f")
-    hits = rows.select("x_key", piece).select("x_key", "x_piece.*").join(twice, "x_f", "left_semi")
+    # Anchors that occur twice. The few that are frequent, HEAVY longs at most as their shares add up, need no join.
+    anchors = scratch.save(rows.select(F.explode("x_f").alias("x_f")).groupBy("x_f").agg(F.count("*").alias("x_c")).filter("x_c > 1"))
+    total = rows.agg(F.sum(F.size("x_f").cast("long")).alias("n")).first()["n"] or 0
+    heavy = [r[0] for r in anchors.filter(F.col("x_c") * HEAVY >= max(total, HEAVY)).select("x_f").collect()]
+    found = rows.select("x_key", F.explode(F.arrays_zip("x_f", "x_start", "x_count", "x_anchor")).alias("x_piece")).select("x_key", "x_piece.*")
+    often = F.col("x_f").isin(heavy)
+    hits = found.filter(often).unionByName(found.filter(~often).join(anchors.filter(~often).select("x_f"), "x_f", "left_semi"))
     hits = hits.groupBy("x_key").agg(F.collect_set(F.struct("x_f", "x_start", "x_count", "x_anchor")).alias("x_hits"))
     bodies = own.select("x_text").mapInArrow(_bodies, "x_key binary, x_body binary").groupBy("x_key").agg(F.first("x_body").alias("x_body"))
     held = scratch.save(bodies.join(hits, "x_key").select("x_key", "x_body", "x_hits"))
@@ -297,7 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id
     done = held.select("x_key", "x_body").join(runs, "x_key").mapInArrow(_removed, "x_key binary, x_removed long, x_spans array<array<long>>, x_kept string")
     copies = rows.groupBy("x_key").agg(F.count("*").alias("x_copies"))
     per = scratch.save(copies.join(done, "x_key", "left").filter("x_copies > 1 or x_kept is not null"))
-    scratch.drop(held)
+    scratch.drop(held, anchors)
     every = (F.col("x_copies") > 1) & (F.col("x_n") >= length)
     removed = F.when(every, F.col("x_n")).otherwise(F.coalesce("x_removed", F.lit(0).cast("long")))
     whole = F.array(F.array(F.lit(0).cast("long"), F.col("x_n")))
