@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..sources.scratch import written
 from . import bags, lines, sanity, tables
 
 
@@ -50,9 +51,9 @@ def measure(pages: DataFrame, texts: DataFrame, doc: str = "doc_id", with_order:
 
     pages: doc, page_no, text of the reference; texts: doc, text. Both sides are cleaned alike first.
     """
-    clean = lines.clean_pages(pages, doc)
+    clean = written(lines.clean_pages(pages, doc))
     final = texts.select(doc, T.joined_hyphens(T.unix_lines("text")).alias("text"))
-    compared = bags.compare_bags(bags.word_bag(clean, [doc]), bags.word_bag(final, [doc]), [doc])
+    compared = written(bags.compare_bags(bags.word_bag(clean, [doc]), bags.word_bag(final, [doc]), [doc]))
     out = texts.select(doc).join(bags.coverage(compared, [doc]), doc, "left")
     rows = lines.to_lines(final, [doc])
     for name, found in (

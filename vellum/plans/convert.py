@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import audit, bags, collect, geometry, lines, markdown, report, structure, tables
+from ..sources.scratch import written
 
 
 def item_lines(items: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -47,15 +48,16 @@ def table_lines(cells: DataFrame, items: DataFrame, doc: str = "doc_id") -> tupl
 def prepare(items: DataFrame, cells: DataFrame, doc: str = "doc_id", subtype: str = "desconhecido") -> dict[str, DataFrame]:
     """structured, rendered, findings, reordered of documents given as layout items and table cells (contract tables).
 
-    The text's words must survive rendering; else a RENDER_CONTENT error says so.
+    The text's words must survive rendering; else a RENDER_CONTENT error says so. What several results share is written to
+    the shared folder first, so each of them has a short plan.
     """
-    placed = geometry.reading_order(items, doc)
+    placed = written(geometry.reading_order(items, doc))
     texts, lost = item_lines(placed, doc)
     stand, shown, table_findings = table_lines(cells, placed, doc)
-    every = texts.withColumn("in_table", F.lit(False)).unionByName(stand)
+    every = written(texts.withColumn("in_table", F.lit(False)).unionByName(stand))
     order = F.row_number().over(Window.partitionBy(doc).orderBy("place", "k"))
-    structured = structure.structured(every.select(doc, order.alias("line_no"), "text", "in_table", F.lit(subtype).alias("subtype")), doc)
-    rendered = markdown.rendered(structured, doc, shown)
+    structured = written(structure.structured(every.select(doc, order.alias("line_no"), "text", "in_table", F.lit(subtype).alias("subtype")), doc))
+    rendered = written(markdown.rendered(structured, doc, shown))
     grid = tables.grid(cells, [doc, "item_seq"]).groupBy(doc).agg(F.array_join(F.collect_list("text"), " ").alias("cells_text"))
     source = every.filter(~F.col("in_table")).groupBy(doc).agg(F.array_join(F.collect_list("text"), " ").alias("t")).join(grid, doc, "full")
     source = source.select(doc, T.repaired_markers(F.concat_ws("\n", "t", "cells_text")).alias("text"))
@@ -73,9 +75,9 @@ def convert(items: DataFrame, cells: DataFrame, pages: DataFrame, doc: str = "do
     out = prepare(items, cells, doc, subtype)
     plain = out["rendered"].select(doc, F.col("plain").alias("text"))
     lint = markdown.lint_findings(out["rendered"], [doc], "markdown")
-    measures = audit.measure(pages, plain, doc, with_order)
+    measures = written(audit.measure(pages, plain, doc, with_order))
     audited = audit.audit_findings(measures, pages, plain, doc, out["structured"])
-    findings = report.union_findings(lint, out["findings"].withColumn("seq", F.col("source_rank") * 1_000_000 + F.col("seq")), audited, doc=doc)
+    findings = written(report.union_findings(lint, out["findings"].withColumn("seq", F.col("source_rank") * 1_000_000 + F.col("seq")), audited, doc=doc))
     return {**out, "measures": measures, "findings": findings, "gates": report.gates(plain.select(doc), findings, doc)}
 
 
