@@ -51,11 +51,11 @@ def refused(files: DataFrame, most_mb: int = MOST_MB, most_pages: int = MOST_PAG
     return files.withColumn("reason", reason)
 
 
-def hashed(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, stem, sha256 of files."""
+def hashed(spark: SparkSession, path: str, glob: str = "*", inner: str = "") -> DataFrame:
+    """path, stem, sha256 of files; inner: a pattern of what stands before the suffix and isn't part of the stem."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", F.regexp_replace(name, r"(?:\.docling)?\.[^.]*$", "").alias("stem"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.regexp_replace(name, rf"(?:{inner})?\.[^.]*$", "").alias("stem"), F.sha2("content", 256).alias("sha256"))
 
 
 def cached_layouts(layouts: DataFrame, sources: DataFrame, quality: DataFrame) -> DataFrame:
