@@ -60,8 +60,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(c, UPPER, LOWER)
+    """Lower-cases A-Z and nothing else. Texts of ASCII only take the faster `lower`, which does the same to them."""
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A name that starts with `name` and that no column of docs starts with, whatever its case."""
+    taken = [c.lower() for c in docs.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
 
 
 def hash_key(seed: int, *cols: Column) -> Column:

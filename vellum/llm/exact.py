@@ -7,28 +7,16 @@ a frequent text are settled where they are read. All other digests are rare and
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, ascii_lower
-
-_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+from .common import Scratch, ascii_lower, free_name
 
 
-def _digests(batches):
-    base, n = TaskContext.get().partitionId() << 33, 0
-    for batch in batches:
-        texts = batch.column("x_text").to_pylist()
-        shas = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass").translate(_FOLD)).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("x_id"), pa.array(range(base + n, base + n + len(texts)), pa.int64()), pa.array(shas, pa.binary())],
-            ["x_id", "x_row", "x_sha"],
-        )
-        n += len(texts)
+def digest(text: Column) -> Column:
+    """SHA-256 of the normalised text, computed in the JVM: no batch of whole texts goes to a Python worker."""
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256))
 
 
 def _misra_gries(counters: int):
@@ -59,9 +47,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", heavy:
     one stays. A null text counts as empty; a null id is smaller than any other; an empty table gives no rows. Other
     columns are ignored. `heavy` bounds the counters of a partition and the broadcast (heavy rows of about 70 bytes).
     """
-    spark, schema = docs.sparkSession, "x_id long, x_row long, x_sha binary"
-    scratch = Scratch(spark)
-    rows = scratch.save(docs.select(F.col(id).cast("long").alias("x_id"), F.col(text).alias("x_text")).mapInArrow(_digests, schema))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(docs.select(F.col(id).cast("long").alias("x_id"), F.monotonically_increasing_id().alias("x_row"), digest(F.col(text)).alias("x_sha")))
     total = rows.count()
     # Misra-Gries never counts too many, so at most `heavy` digests can reach total / heavy; none with twice that many rows is missed.
     named = (
@@ -70,11 +57,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", heavy:
     )
     winners = scratch.save(_settled(rows.join(F.broadcast(named), "x_sha", "left_semi")))
     settled = rows.join(F.broadcast(winners), "x_sha", "left")
-    light = Window.partitionBy("x_sha")
-    rest = (
-        settled.filter(F.col("x_size").isNull()).select("x_id", "x_row", "x_sha")
-        .withColumn("x_top", F.max(F.struct("x_id", "x_row")).over(light)).withColumn("x_size", F.count("*").over(light))
-    )
+    # Counted with map-side sums and joined back: the join, unlike a window, can be split where a digest has many rows.
+    light = settled.filter(F.col("x_size").isNull()).select("x_id", "x_row", "x_sha")
+    rest = light.join(_settled(light), "x_sha").select("x_id", "x_row", "x_sha", "x_top", "x_size")
     return settled.filter(F.col("x_size").isNotNull()).select(*rest.columns).unionByName(rest).select(
         F.col("x_id").alias("doc_id"),
         F.col("x_top.x_id").alias("keep_id"),
@@ -85,12 +70,16 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", heavy:
 
 
 def keep_first(docs: DataFrame, decided: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows of docs that exact_dedup's table keeps, with all columns of docs. Repeated rows (one id, equal texts) leave one."""
-    own = docs.withColumns({"x_id_": F.col(id).cast("long"), "x_sha_": F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256)})
-    per = decided.groupBy(F.col("doc_id").alias("x_d"), F.col("text_sha256").alias("x_s")).agg(F.max("kept").alias("x_k"), F.count("*").alias("x_n"))
-    per = Scratch(docs.sparkSession).save(per.filter("x_k").drop("x_k"))
-    hit = own.join(per, own["x_id_"].eqNullSafe(per["x_d"]) & (own["x_sha_"] == per["x_s"]))
-    if per.filter("x_n > 1").isEmpty():
+    """The rows of docs that exact_dedup's table keeps, with all columns of docs, whatever their names.
+
+    Repeated rows (one id, equal texts) leave one, of which the other columns are those of any of them.
+    """
+    d, s, n, k = free_name(docs, "x_d"), free_name(docs, "x_s"), free_name(docs, "x_n"), free_name(docs, "x_k")
+    own = docs.withColumns({d: F.col(id).cast("long"), s: digest(F.col(text))})
+    per = decided.groupBy(F.col("doc_id").alias("x_left"), F.unhex("text_sha256").alias("x_right")).agg(F.max("kept").alias(k), F.count("*").alias(n))
+    per = Scratch(docs.sparkSession).save(per.filter(k).drop(k))
+    hit = own.join(per.toDF(d + "_", s + "_", n), F.col(d).eqNullSafe(F.col(d + "_")) & (F.col(s) == F.col(s + "_")))
+    if per.filter(F.col(n) > 1).isEmpty():
         return hit.select(docs.columns)
-    again = hit.filter("x_n > 1").dropDuplicates(["x_id_", "x_sha_"])
-    return hit.filter("x_n = 1").select(docs.columns).unionByName(again.select(docs.columns))
+    again = hit.filter(F.col(n) > 1).dropDuplicates([d, s])
+    return hit.filter(F.col(n) == 1).select(docs.columns).unionByName(again.select(docs.columns))
