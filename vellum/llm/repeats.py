@@ -2,15 +2,21 @@
 
 Sharding keeps equal strings together: each string of `length` bytes belongs to the least of its GRAM-byte grams (by hash,
 the first of equals), and runs of neighbouring strings with one such anchor are cut out as a piece. Equal strings have
-equal anchors, so a shard of anchors can be sorted by itself, and an anchor seen once in the corpus has no repeat at all.
-In its shard, equal pieces are one, with a count; the others are sorted as suffixes by external induced sorting
-(suffixes.py), whose common-prefix values show every string that starts twice. Equal texts are one text, with a count.
+equal anchors at equal distances. A piece's strings are dealt by that distance into two units; all strings of a unit share
+the bytes of a window around the anchor, so equal strings are in units with one window, and a unit whose window nobody
+else has holds no repeat. Equal pieces are one, with a count; equal texts are one text, with a count.
+
+The units of a window meet in a shard, which is sorted by external induced suffix sorting (suffixes.py); its common-prefix
+values show every string that starts twice. Where a window is CROWDED (a passage in very many texts), its units are cut
+into smaller ones with longer windows, again and again, down to single strings, which are counted with map-side sums: no
+task gets a crowd, and units that the longer windows tell apart go.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,10 @@ from .suffixes import Shard
 LENGTH, GRAM = 400, 32
 #: An anchor with one piece in so many is frequent.
 HEAVY = 1024
+#: A window with more units than this is crowded; its units are cut into PARTS.
+CROWDED, PARTS = 2048, 4
+#: Bytes of a shard where there are more than shuffle partitions would hold.
+SHARD = 256 << 20
 #: Positions in a keyed gram; longer texts are cut into parts of PART string starts.
 PLACE = np.uint64((1 << 24) - 1)
 PART = 4 << 20
@@ -134,7 +144,7 @@ def _scan(length: int):
 def _bodies(batches):
     """(key, packed text), once for each text that a task sees."""
     pack, seen = zstandard.ZstdCompressor(level=3), set()
-    for batch in batches:
+    for batch in blocks(batches, "x_text", 4 << 20):
         keys, packed = [], []
         if len(seen) > 1_000_000:
             seen.clear()
@@ -148,120 +158,129 @@ def _bodies(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["x_key", "x_body"])
 
 
-_PIECES = "x_f long, x_same binary, x_left long, x_right long, x_count int, x_at array<struct<x_key:binary,x_start:int>>, x_bytes binary"
-_PIECE_TYPES = (
-    pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("x_key", pa.binary()), ("x_start", pa.int32())])), pa.binary(),
-)
+def _digest(raw: bytes, size: int = 16) -> bytes:
+    return hashlib.blake2b(raw, digest_size=size).digest()
+
 
+def _parts(raw: bytes, lo: int, hi: int, anchor: int, near: int, far: int, length: int, parts: int):
+    """Cuts the strings that start at lo..hi, near <= anchor - start < far, by that distance: (lo, hi, near, far, window's digest).
 
-def _short(b: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
+    Windows that only bring units together have short digests; one that is a whole string is known by its digest.
+    """
+    for k in range(parts):
+        a, b = near + (far - near) * k // parts, near + (far - near) * (k + 1) // parts
+        first, final = max(lo, anchor - b + 1), min(hi, anchor - a)
+        if first <= final:
+            yield first, final, a, b, _digest(raw[anchor - a : anchor - b + 1 + length], 16 if b - a == 1 else 8)
 
 
-def _cut(length: int):
-    """The distinct pieces of some texts with all places of each; the bytes only where a task first sees them.
+def _table(rows: list, schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*[x.split(" ") for x in schema.split(", ")], strict=True)
+    types = {"binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
-    A string has half of length - GRAM bytes left or right of its anchor's gram; x_left and x_right are digests of those
-    halves with the gram, null where the piece is too short for any such string.
-    """
-    half = (length - GRAM) // 2
+
+_UNITS = "x_key binary, x_lo int, x_hi int, x_anchor int, x_near int, x_far int, x_single boolean, x_window binary"
+_PIECES = "x_key binary, x_lo int, x_hi int, x_anchor int, x_same binary, x_window0 binary, x_window1 binary"
+
+
+def _pieces(length: int):
+    """The digests of each piece and of the windows of its two units (null: it has no string there)."""
+    span = length - GRAM + 1
 
     def run(batches):
-        unpack, seen = zstandard.ZstdDecompressor(), set()
-        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
-            own: dict[bytes, tuple] = {}
-            for key, body, hits in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                raw = unpack.decompress(body)
-                for h in hits:
-                    start, end, anchor = h["x_start"], h["x_start"] + h["x_count"] + length - 1, h["x_anchor"]
-                    piece = raw[start:end]
-                    same = hashlib.blake2b(piece, digest_size=16).digest()
-                    if same not in own:
-                        left = _short(raw[anchor - half : anchor + GRAM]) if anchor - half >= start else None
-                        right = _short(raw[anchor : anchor + GRAM + half]) if anchor + GRAM + half <= end else None
-                        own[same] = (h["x_f"], same, left, right, h["x_count"], [], None if same in seen else piece)
-                    own[same][5].append({"x_key": key, "x_start": start})
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.update(own)
-            if own:
-                names = ["x_f", "x_same", "x_left", "x_right", "x_count", "x_at", "x_bytes"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own.values(), strict=True), _PIECE_TYPES, strict=True)], names)
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for some in blocks_of(batch):
+                rows = []
+                for key, body, hits in zip(*[c.to_pylist() for c in some.columns], strict=True):
+                    raw = unpack.decompress(body)
+                    for h in hits:
+                        lo, hi, anchor = h["x_start"], h["x_start"] + h["x_count"] - 1, h["x_anchor"]
+                        windows = {a > 0: w for _, _, a, _, w in _parts(raw, lo, hi, anchor, 0, span, length, 2)}
+                        rows.append((key, lo, hi, anchor, _digest(raw[lo : hi + length]), windows.get(False), windows.get(True)))
+                yield _table(rows, _PIECES)
 
     return run
 
 
-_PLACE = np.dtype([("key", "V16"), ("start", "<i4")])
+def blocks_of(batch: pa.RecordBatch, most: int = 512):
+    return (batch.slice(i, most) for i in range(0, batch.num_rows, most))
 
 
-def _sorted_shard(length: int, budget: int):
-    """One shard, its rows sorted by anchor and piece: the repeated intervals of each occurrence of a piece.
+def _smaller(length: int):
+    """Cuts units into PARTS, by distance from the anchor."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for some in blocks_of(batch):
+                rows = []
+                for key, body, units in zip(*[c.to_pylist() for c in some.columns], strict=True):
+                    raw = unpack.decompress(body)
+                    for u in units:
+                        near, far, anchor = u["x_near"], u["x_far"], u["x_anchor"]
+                        cut = _parts(raw, u["x_lo"], u["x_hi"], anchor, near, far, length, min(PARTS, far - near))
+                        rows += [(key, first, final, anchor, a, b, u["x_single"], w) for first, final, a, b, w in cut]
+                yield _table(rows, _UNITS)
+
+    return run
 
-    Texts, pieces that wait for the end of their anchor, and occurrences lie in files; memory holds a small record for
-    each distinct piece.
-    """
+
+_STRINGS = "x_window binary, x_key binary, x_lo int, x_count int, x_single boolean, x_bytes binary"
+
+
+def _strings(length: int):
+    """The bytes of units."""
 
     def run(batches):
-        shard = Shard(budget)
-        waiting, spool = open(os.path.join(shard.folder, "waiting"), "w+b"), open(os.path.join(shard.folder, "places"), "w+b")  # noqa: SIM115
-        done: list[tuple] = []  # strings, place in the shard's text or -1, first occurrence, occurrences
-        open_: list[list] = []  # the same of the anchor at hand, with left, right, place and size among the waiting
-        anchor, last, held = None, None, 0
-
-        def close() -> None:
-            """Ends an anchor: pieces with a half that another piece shares go into the text."""
-            halves: dict = {}
-            for p in open_ if len(open_) > 1 else ():
-                for half in ((0, p[4]), (1, p[5])):
-                    halves[half] = halves.get(half, 0) + (half[1] is not None)
-            for p in open_:
-                if max(halves.get((0, p[4]), 0), halves.get((1, p[5]), 0)) > 1:
-                    waiting.seek(p[6])
-                    p[1] = shard.add(waiting.read(p[7]))
-                done.append(tuple(p[:4]))
-            open_.clear()
-            waiting.seek(0)
-            waiting.truncate()
-
-        def batch_of(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int32()), strict=True)], ["x_key", "x_a", "x_b"])
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for some in blocks_of(batch):
+                rows = []
+                for key, body, units in zip(*[c.to_pylist() for c in some.columns], strict=True):
+                    raw = unpack.decompress(body)
+                    rows += [(u["x_window"], key, u["x_lo"], u["x_hi"] - u["x_lo"] + 1, u["x_single"], raw[u["x_lo"] : u["x_hi"] + length]) for u in units]
+                yield _table(rows, _STRINGS)
+
+    return run
+
 
+_PLACE = np.dtype([("key", "V16"), ("lo", "<i4"), ("count", "<i4"), ("at", "<i8")])
+_RUNS = "x_key binary, x_a int, x_b int"
+
+
+def _sorted_shard(length: int, budget: int):
+    """One shard: the repeated intervals of its units. The units' texts and places lie in files."""
+
+    def run(batches):
+        shard = Shard(budget)
+        spool = open(os.path.join(shard.folder, "places"), "w+b")  # noqa: SIM115
         try:
+            held = 0
             for batch in batches:
-                for f, same, left, right, count, at, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    if f != anchor:
-                        close()
-                        anchor, last = f, None
-                    if same != last:
-                        open_.append([count, -1, held, 0, left, right, waiting.tell(), len(data)])
-                        waiting.write(data)
-                        last = same
-                    spool.write(np.array([(p["x_key"], p["x_start"]) for p in at], _PLACE).tobytes())
-                    open_[-1][3] += len(at)
-                    held += len(at)
-            close()
+                for some in blocks_of(batch, 4096):
+                    places = []
+                    for _, key, lo, count, single, data in zip(*[c.to_pylist() for c in some.columns], strict=True):
+                        at = shard.add(data)
+                        if single:  # of a piece that occurs again every string is known to
+                            places.append((key, lo, count, at))
+                    np.array(places, _PLACE).tofile(spool)
+                    held += len(places)
             flags = shard.repeated(length)
             spool.flush()
             places = np.memmap(spool.name, _PLACE, "r", shape=(held,)) if held else np.zeros(0, _PLACE)
-            out = []
-            for count, at, first, n in done:
-                if n > 1:
-                    runs = [(0, count + length - 1)]
-                elif at < 0:
-                    continue
-                else:
-                    hit = np.flatnonzero(np.diff(np.concatenate([[False], flags[at : at + count], [False]]).astype(np.int8)))
-                    runs = [(a, b + length - 1) for a, b in hit.reshape(-1, 2).tolist()]
-                for k in range(first, first + n, 10_000):
-                    some = places[k : min(first + n, k + 10_000)]
-                    out += [(key.tobytes(), start + a, start + b) for key, start in zip(some["key"], some["start"].tolist(), strict=True) for a, b in runs]
-                    if len(out) > 50_000:
-                        yield batch_of(out)
-                        out = []
-            if out:
-                yield batch_of(out)
+            for a in range(0, held, 10_000):
+                out = []
+                for p in places[a : a + 10_000]:
+                    at, count, lo = int(p["at"]), int(p["count"]), int(p["lo"])
+                    own = flags[at : at + count]
+                    if own.any():
+                        hit = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+                        out += [(p["key"].tobytes(), lo + x, lo + y + length - 1) for x, y in hit.reshape(-1, 2).tolist()]
+                yield _table(out, _RUNS)
         finally:
-            waiting.close()
             spool.close()
             shard.close()
 
@@ -274,7 +293,7 @@ def _removed(batches):
     names = ["x_key", "x_removed", "x_spans", "x_kept"]
     for batch in batches:
         out = []
-        for key, body, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for key, body, runs in (r for some in blocks_of(batch) for r in zip(*[c.to_pylist() for c in some.columns], strict=True)):
             raw = unpack.decompress(body)
             kept, at, spans = hashlib.sha256(), 0, []
             for r in sorted(runs, key=lambda r: (r["x_a"], r["x_b"])):
@@ -292,13 +311,14 @@ def _removed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id: str = "doc_id", budget: int = 64 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id: str = "doc_id", budget: int = 64 << 20, crowded: int = CROWDED) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (arrays of start and end, in bytes).
 
     Every byte inside a string of `length` bytes that also starts anywhere else, in this text or another, is removed;
     strings are judged on the input. A null text is empty; texts shorter than `length` lose nothing; equal texts that are
     long enough lose all. Ids may be null or repeated; other columns are ignored; an empty table gives no rows. A shard
-    larger than memory is sorted on the executor's disk; budget bounds the bytes of its queues that stay in memory.
+    larger than memory is sorted in files of the task's scratch folder, made anew if the task runs again elsewhere; budget
+    bounds the bytes of its queues that stay in memory, and crowded the units of one window that meet in a task.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
@@ -316,14 +336,54 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id
     hits = hits.groupBy("x_key").agg(F.collect_set(F.struct("x_f", "x_start", "x_count", "x_anchor")).alias("x_hits"))
     bodies = own.select("x_text").mapInArrow(_bodies, "x_key binary, x_body binary").groupBy("x_key").agg(F.first("x_body").alias("x_body"))
     held = scratch.save(bodies.join(hits, "x_key").select("x_key", "x_body", "x_hits"))
-    cut = held.mapInArrow(_cut(length), _PIECES)
-    shards = cut.repartition("x_f").sortWithinPartitions("x_f", "x_same", F.col("x_bytes").isNull())
-    runs = shards.mapInArrow(_sorted_shard(length, budget), "x_key binary, x_a int, x_b int")
-    runs = runs.groupBy("x_key").agg(F.collect_list(F.struct("x_a", "x_b")).alias("x_runs"))
+    unit = ["x_lo", "x_hi", "x_anchor", "x_near", "x_far", "x_single", "x_window"]
+    texts = held.select("x_key", "x_body")
+
+    def with_text(units: DataFrame) -> DataFrame:
+        return texts.join(units.groupBy("x_key").agg(F.collect_list(F.struct(*unit)).alias("x_units")), "x_key").select("x_key", "x_body", "x_units")
+
+    pieces = scratch.save(held.mapInArrow(_pieces(length), _PIECES))
+    scratch.drop(anchors)
+    row = F.min(F.struct("x_key", "x_lo", "x_hi", "x_anchor", "x_window0", "x_window1"))
+    same = scratch.save(pieces.groupBy("x_same").agg(row.alias("x_row"), F.count("*").alias("x_c")))
+    # Pieces that occur again. Again the few frequent ones need no shuffle.
+    again, all_ = same.filter("x_c > 1"), max(pieces.count(), HEAVY)
+    hot = F.col("x_c") * HEAVY >= all_
+    rest = pieces.join(F.broadcast(again.filter(hot).select("x_same")), "x_same", "left_anti").join(again.filter(~hot).select("x_same"), "x_same")
+    runs = [d.select("x_key", "x_lo", "x_hi") for d in (pieces.join(F.broadcast(again.filter(hot).select("x_same")), "x_same"), rest)]
+    span, middle, at = length - GRAM + 1, (length - GRAM + 1) // 2, F.col("x_row.x_anchor")
+    sides = [
+        F.struct(F.greatest("x_row.x_lo", at - (far - 1)).alias("x_lo"), F.least("x_row.x_hi", at - near).alias("x_hi"), F.lit(near).alias("x_near"), F.lit(far).alias("x_far"), F.col(f"x_row.x_window{k}").alias("x_window"))
+        for k, (near, far) in enumerate([(0, middle), (middle, span)])
+    ]
+    units = same.select(F.col("x_row.x_key").alias("x_key"), at.alias("x_anchor"), (F.col("x_c") == 1).alias("x_single"), F.explode(F.array(*sides)).alias("x_side"))
+    units = units.select("x_key", "x_anchor", "x_single", "x_side.*").filter("x_window is not null")
+    shards, used = [], [pieces, same]
+    while True:
+        shared = scratch.save(units.groupBy("x_window").agg(F.count("*").alias("x_c")).filter("x_c > 1"))
+        used.append(shared)
+        alike = units.join(shared, "x_window")
+        shards.append(alike.filter((F.col("x_c") <= crowded) & (F.col("x_far") - F.col("x_near") > 1)).select("x_key", *unit))
+        runs.append(alike.filter("x_far - x_near = 1 and x_single").select("x_key", "x_lo", "x_hi"))  # a window of all its bytes
+        crowd = alike.filter((F.col("x_c") > crowded) & (F.col("x_far") - F.col("x_near") > 1))
+        if shared.filter(F.col("x_c") > crowded).isEmpty():
+            break
+        units = scratch.save(with_text(crowd).mapInArrow(_smaller(length), _UNITS))
+        used.append(units)
+        if units.isEmpty():
+            break
+    alike = scratch.save(reduce(DataFrame.unionByName, shards))
+    used.append(alike)
+    size = alike.agg(F.sum(F.col("x_hi") - F.col("x_lo") + length + 1).alias("n")).first()["n"] or 0
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD)
+    found = with_text(alike).mapInArrow(_strings(length), _STRINGS).repartition(number, "x_window")
+    found = found.mapInArrow(_sorted_shard(length, budget), _RUNS)
+    known = reduce(DataFrame.unionByName, runs).select("x_key", F.col("x_lo").alias("x_a"), (F.col("x_hi") + length).alias("x_b"))
+    runs = found.unionByName(known).groupBy("x_key").agg(F.collect_list(F.struct("x_a", "x_b")).alias("x_runs"))
     done = held.select("x_key", "x_body").join(runs, "x_key").mapInArrow(_removed, "x_key binary, x_removed long, x_spans array<array<long>>, x_kept string")
     copies = rows.groupBy("x_key").agg(F.count("*").alias("x_copies"))
     per = scratch.save(copies.join(done, "x_key", "left").filter("x_copies > 1 or x_kept is not null"))
-    scratch.drop(held, anchors)
+    scratch.drop(held, *used)
     every = (F.col("x_copies") > 1) & (F.col("x_n") >= length)
     removed = F.when(every, F.col("x_n")).otherwise(F.coalesce("x_removed", F.lit(0).cast("long")))
     whole = F.array(F.array(F.lit(0).cast("long"), F.col("x_n")))
