@@ -6,8 +6,7 @@ import os
 import duckdb
 import pytest
 
-from vellum.plans.oracles import ORACLES
-from vellum.plans.queries import QUERIES
+from vellum.plans.catalogue import ORACLES, QUERIES
 
 DATA = os.environ.get("VELLUM_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")

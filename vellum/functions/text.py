@@ -28,7 +28,7 @@ def one_of(c: Column, *found: str) -> Column:
 
 
 def strip(c: Column | str, chars: str | None = None) -> Column:
-    """Without white space, or the given characters, at both ends."""
+    """Without white space, or the given characters, at both ends. In transform, call it in a lambda of one argument."""
     if chars is not None:
         return F.trim(col(c), F.lit(chars))
     return F.regexp_replace(col(c), rf"^{BLANK}+|{BLANK}+\z", "")
@@ -99,7 +99,7 @@ def without_header_prefix(c: Column | str) -> Column:
 
 def dated_headers(c: Column | str) -> Column:
     """Dated page headers anywhere in a line."""
-    return F.transform(F.regexp_extract_all(col(c), F.lit(P.DATED_HEADER), F.lit(0)), strip)
+    return F.transform(F.regexp_extract_all(col(c), F.lit(P.DATED_HEADER), F.lit(0)), lambda x: strip(x))
 
 
 def without_dated_header(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ from .structure import NUMBERED, descendants, node_texts
 
 
 def _full_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), T.strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: T.strip(x)), lambda x: x != "")
 
 
 def follows_in_reference(tail: Column, head: Column, reference: Column) -> Column:
@@ -86,7 +86,7 @@ def no_articles_notice(nodes: Column, rectification: Column, text: Column) -> Co
 def reads_as_levels(label: Column, raw: Column) -> Column:
     """A classification without a grid: three levels or more, most with category words after them."""
     body = F.array_join(F.slice(F.split(raw, "\n"), 2, 1_000_000), "\n")
-    parts = F.transform(F.slice(F.split(body, P.LEVEL.replace(r"\b", r"(?U:\b)")), 2, 1_000_000), T.strip)
+    parts = F.transform(F.slice(F.split(body, P.LEVEL.replace(r"\b", r"(?U:\b)")), 2, 1_000_000), lambda x: T.strip(x))
     named = F.size(F.filter(parts, lambda x: x.rlike(P.CATEGORY_WORD)))
     left_out = F.size(F.filter(parts, lambda x: x.rlike(rf"^{P.OMITTED}\.?\z")))
     return label.rlike(P.CLASSIFICATION) & (F.size(parts) >= P.LEAST_VALUES) & (named >= P.LEAST_VALUES) & (named * 2 > F.size(parts) - left_out)
