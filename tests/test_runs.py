@@ -29,19 +29,19 @@ def index(spark):
 
 def test_index(spark, index):
     known = spark.createDataFrame([("2025/7/doc0", "h", "h"), ("2025/8/doc1", "h", "g")], "chave string, sha256 string, local_sha256 string")
-    done = convert.collect_index(spark, LABELS, index, known)
+    done = convert.collect_index(spark, index, known, LABELS)
     valid = {r.position: r for r in done["valid"].collect()}
     assert sorted(valid) == list(range(7)) and valid[3].chave == "2025/10/doc3" and valid[3].num_bte == 10
     assert (valid[1].altera, valid[2].altera) == ("A1", "A1; A2")
     assert sorted(r.position for r in done["rejected"].collect()) == [11, 12, 13]
     state = {r.chave: r.estado for r in done["decisions"].collect()}
     assert state["2025/7/doc0"] == "ja_existente" and state["2025/13/doc6"] == "ignorado" and sum(v == "por_descarregar" for v in state.values()) == 5
-    limited = convert.collect_index(spark, LABELS, index, known, network=True, limit=2)["decisions"]
+    limited = convert.collect_index(spark, index, known, LABELS, network=True, limit=2)["decisions"]
     assert sorted(r.chave for r in limited.filter("estado = 'descarregar'").collect()) == ["2025/8/doc1", "2025/9/doc2"]
     total = done["summary"].filter("estado is null and unknown is null").orderBy(F.desc("n")).first()
     assert total.n == 7
     with pytest.raises(ValueError):
-        convert.collect_index(spark, LABELS, index, known, families=("outra",))
+        convert.collect_index(spark, index, known, LABELS, families=("outra",))
 
 
 def test_registry(spark):
@@ -61,7 +61,7 @@ def test_downloads(spark):
     got = [r.r.estado for r in df.select(collect.download_outcome(*[F.col(c) for c in df.columns]).alias("r")).collect()]
     assert got == ["descarregado", "falhado", "falhado", "falhado", "falhado", "falhado"]
     items = spark.createDataFrame([("k", f"{HOST}/a"), ("z", "http://evil/")], "chave string, url string")
-    found = collect.fetch(items, lambda url: (200, {"etag": "e"}, b"%PDF")).collect()
+    found = collect.fetch(items, lambda url, asked: (200, {"etag": "e"}, b"%PDF"), pause=0).collect()
     assert [(r.chave, r.status, r.headers) for r in found] == [("k", 200, {"etag": "e"})]
 
 
@@ -90,6 +90,14 @@ def test_convert(spark, layout, tmp_path):
     assert n == 1 and (tmp_path / "d.md").read_text() == md
     with pytest.raises(FileExistsError):
         sinks.write_documents(done["rendered"], str(tmp_path))
+    more = spark.createDataFrame([("d", "1", "2", "{}"), ("e/f", "3", None, "[]")], "doc_id string, markdown string, raw string, quality string")
+    with pytest.raises(FileExistsError):  # and no file of any set is written
+        sinks.write_documents(more, str(tmp_path))
+    assert not (tmp_path / "e").exists() and not (tmp_path / "_auditoria").exists()
+    assert sinks.write_documents(more, str(tmp_path), overwrite=True) == 2
+    assert (tmp_path / "_auditoria/e/f.qualidade.json").read_text() == "[]" and (tmp_path / "d.md").read_text() == "1" and not (tmp_path / "_auditoria/e/f.layout.md").exists()
+    with pytest.raises(Exception, match="outside"):
+        sinks.write_documents(more.withColumn("doc_id", F.lit("../x")), str(tmp_path))
 
 
 def test_command_line(spark, layout, tmp_path, capsys):
@@ -105,8 +113,65 @@ def test_command_line(spark, layout, tmp_path, capsys):
     assert [json.loads(x)["rule"] for x in capsys.readouterr().out.splitlines()] == ["MD001"] * 2
     (tmp_path / "i.csv").write_text("Ano,Titulo,TipoSubTipoDoc,URLPDF\n2025,T,CCT," + HOST + "/documentos/2025/3/a.pdf\n,U,ST," + HOST + "/documentos/2025/4/b.pdf\n")
     (tmp_path / "r.jsonl").write_text('{"chave":"z"}\n')
-    assert cli.main(["collect", f"{tmp_path}/i.csv", f"{tmp_path}/r.jsonl"]) == 0
+    assert cli.main(["collect", f"{tmp_path}/i.csv", f"{tmp_path}/r.jsonl", f"{tmp_path}/here"]) == 0
     assert "por_descarregar 1" in capsys.readouterr().out
+    after = {x["chave"]: x for x in map(json.loads, "".join(p.read_text() for p in (tmp_path / "r.jsonl.new").glob("part*")).splitlines())}
+    assert after["z"] == {"chave": "z"} and after["2025/3/a"]["descarga"]["estado"] == "por_descarregar"
+
+
+def test_sheets(spark, tmp_path):
+    """Every sheet has its own header; sheets that are no index and files that can't be read are told or left out."""
+    (tmp_path / "one.bin").write_bytes(b"one")
+    (tmp_path / "two.bin").write_bytes(b"two")
+    (tmp_path / "bad.bin").write_bytes(b"bad")
+    url = HOST + "/documentos/2025/3/"
+
+    def reader(content):
+        if content == b"bad":
+            raise ValueError("no book")
+        if content == b"two":
+            return [("notes", [["a", "b"], ["1", "2"]]), ("empty", [])]
+        return [("s1", [["Ano", "Título", "URL PDF"], [2025, "T", url + "a.pdf"], [None, "T", url + "a.pdf"]]), ("s2", [["URLPDF", "Titulo", "TipoSubTipoDoc", "Tipo de documento"], [url + "b.pdf", "U", "", "CCT"]]), ("x", [["k"], ["v"]])]
+
+    rows = readers.index_rows(spark, str(tmp_path), reader)
+    got = sorted((r.file, r.sheet, r.position, r.problem) for r in rows.collect() if r.problem is None)
+    assert got == [("one.bin", "s1", 1, None), ("one.bin", "s1", 2, None), ("one.bin", "s2", 1, None)]
+    assert sorted(r.file for r in rows.filter("problem is not null").collect()) == ["bad.bin", "two.bin"]
+    items = collect.complete_items(collect.project_index(rows.filter("problem is null")))
+    assert {(r.sheet, r.position, r.chave, r.familia) for r in items.collect()} == {("s1", 1, "2025/3/a", None), ("s1", 2, "2025/3/a", None), ("s2", 1, "2025/3/b", "convencao")}
+
+
+def test_whole_collect_run(spark, tmp_path):
+    """Two runs: the first downloads, with tries and faults; the second finds what is there and keeps other fields of entries."""
+    url = HOST + "/documentos/2025/3/"
+    rows = [("i", "s", k, ["Ano", "Titulo", "TipoSubTipoDoc", "URLPDF"], ["2025", "T", "CCT" if k < 4 else "ST", url + f"{n}.pdf"], None) for k, n in enumerate("abcde")]
+    rows = spark.createDataFrame(rows, "file string, sheet string, position long, header array<string>, cells array<string>, problem string")
+    entries = spark.createDataFrame([("2025/3/a", '{"chave":"2025/3/a","nota":{"x":[1,"ú"]},"descarga":{"estado":"falhado","data":"ontem"}}'), ("old", '{"chave":"old"}')], "chave string, entry string")
+    answers = {"a": (200, {"ETag": "e1"}, b"%PDF-a"), "b": (404, {}, b""), "c": (200, {}, b"<html>"), "d": (500, {}, b"")}
+    folder = str(tmp_path / "docs")
+    done = convert.collect_run(spark, rows, entries, folder, lambda u, asked: answers[u[-5]], families=("convencao",))
+    state = {r.chave[-1]: (r.estado, r.erro) for r in done["downloads"].collect()}
+    assert state == {"a": ("descarregado", None), "b": ("falhado", "HTTP 404"), "c": ("falhado", "a resposta não é um PDF"), "d": ("falhado", "HTTP 500"), "e": ("ignorado", None)}
+    assert (tmp_path / "docs/2025/3/a.pdf").read_bytes() == b"%PDF-a" and len(list((tmp_path / "docs").rglob("*.*"))) == 1
+    kept = {r.chave: json.loads(r.entry) for r in done["registry"].collect()}
+    assert kept["old"] == {"chave": "old"} and kept["2025/3/a"]["nota"] == {"x": [1, "ú"]} and kept["2025/3/a"]["descarga"]["data"] == "ontem"
+    assert kept["2025/3/a"]["descarga"]["etag"] == "e1" and kept["2025/3/e"]["descarga"]["motivo"].startswith("tipo desconhecido")
+    again = convert.collect_run(spark, rows, done["registry"], folder, None, families=("convencao",))
+    assert {r.chave[-1]: r.estado for r in again["downloads"].collect()} == {"a": "ja_existente", "b": "por_descarregar", "c": "por_descarregar", "d": "por_descarregar", "e": "ignorado"}
+
+
+def test_fetching(spark):
+    """Faults are tried again after longer waits, client errors aren't; a recorded copy at hand makes a request conditional."""
+    seen = []
+
+    def fetcher(url, asked):
+        return {"a": (500, {}, b""), "b": (404, {}, b""), "c": (200, {"x": json.dumps(asked)}, b"%PDF"), "d": (200, {"x": json.dumps(asked)}, b"%PDF")}[url[-1]]
+
+    items = spark.createDataFrame([(k, f"{HOST}/{k}", "e", None, k == "d") for k in "abcd"], "chave string, url string, etag string, last_modified string, at_hand boolean").coalesce(1)
+    got = {r.chave: r for r in collect.fetch(items, fetcher, wait=lambda s: None).collect()}
+    assert (got["a"].status, got["b"].status, got["c"].headers["x"], got["d"].headers["x"]) == (500, 404, "{}", '{"If-None-Match": "e"}') and not seen
+    ok = [collect.allowed_url(u) for u in (f"{HOST}/x", f"{HOST}:443/x", "http://bte.dgcp.mtsss.gov.pt/", "https://evil/", f"{HOST}:99/", f"{HOST}:x/", HOST.replace("//", "//u:p@"))]
+    assert ok == [True, True, False, False, False, False, False]
 
 
 def test_sources(spark, tmp_path):
@@ -165,4 +230,4 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns == ["gate", "state", "quality", "n", "findings"]
-    assert len([n for n in e.queries() if n.startswith("q")]) == 45
+    assert len([n for n in e.queries() if n.startswith("q")]) >= 95

@@ -1,4 +1,4 @@
-"""Command line: lint Markdown, convert contract tables, decide on an index."""
+"""Command line: lint Markdown, convert contract tables, collect from an index."""
 
 from __future__ import annotations
 
@@ -26,10 +26,14 @@ def main(args: list[str] | None = None) -> int:
     run.add_argument("source", help="folder with items, cells and pages tables")
     run.add_argument("out")
     run.add_argument("--overwrite", action="store_true")
-    get = commands.add_parser("collect", help="an exported index to decisions; nothing is downloaded")
+    get = commands.add_parser("collect", help="index files to a registry; --network downloads what is missing")
     get.add_argument("index")
     get.add_argument("registry", help="JSON lines")
+    get.add_argument("folder", help="documents at hand, as year/number/file")
     get.add_argument("--families", nargs="*", default=list(P.ALL_FAMILIES))
+    get.add_argument("--network", action="store_true")
+    get.add_argument("--limit", type=int)
+    get.add_argument("--out", help="where the new registry goes (default: beside the old one, with .new)")
     for p in (lint, run):
         p.add_argument("--strict", action="store_true")
     o = parser.parse_args(args)
@@ -50,12 +54,11 @@ def main(args: list[str] | None = None) -> int:
         report.write_reports(report.run_report(gates, findings, run_id), f"{o.out}/_auditoria", run_id)
         rank = F.array_position(F.array(*map(F.lit, P.GATES)), F.col("gate")).cast("int") - 1
         return int(gates.agg(report.exit_code(F.lit(False), rank, F.lit(o.strict))).first()[0] or 0)
-    header, rows = readers.index_rows(spark, o.index)
     registry, rejected = collect.load_registry(readers.text_lines(spark, o.registry))
-    known = registry.select("chave", F.get_json_object("entry", "$.descarga.sha256").alias("sha256"), F.lit(None).cast("string").alias("local_sha256"))
-    done = convert.collect_index(spark, header, rows, known, families=tuple(o.families))
-    for row in done["summary"].collect():
-        print(row.estado or row.unknown or "total", row.n)
+    done = convert.collect_run(spark, readers.index_rows(spark, o.index), registry, o.folder, collect.url_fetcher() if o.network else None, families=tuple(o.families), limit=o.limit)
+    sinks.write_registry(done["registry"], o.out or f"{o.registry}.new")
+    for row in done["downloads"].groupBy("estado").count().orderBy("estado").collect():
+        print(row.estado, row["count"])
     return int(not (rejected.isEmpty() and done["rejected"].isEmpty()))
 
 

@@ -41,12 +41,14 @@ def coverage(compared: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def verdict(coverage: Column, excess: Column, order: Column, reversed_words: Column, residues: Column, long_lines: Column, error: Column | None = None, excluded: Column | None = None) -> Column:
-    """The lattice of verdicts; counts may be null where not measured, a null order is not judged."""
+def verdict(coverage: Column, excess: Column, order: Column, reversed_words: Column, residues: Column, long_lines: Column, error: Column | None = None, excluded: Column | None = None, skipped: Column | None = None) -> Column:
+    """The lattice of verdicts; counts may be null where not measured. A null order has nothing to judge (a side without words);
+    one that was skipped bars `OK`."""
     n = lambda c: F.coalesce(c, F.lit(0))
     no = F.lit(None).cast("string")
     fail = (coverage < P.COVERAGE_FAIL) | (n(reversed_words) >= P.FAIL_REVERSED)
     look = (coverage < P.COVERAGE_OK) | (excess > P.EXCESS_OK) | (F.coalesce(order, F.lit(1.0)) < P.ORDER_OK) | (n(reversed_words) + n(residues) + n(long_lines) > 0)
+    look = look if skipped is None else look | skipped
     return (
         F.when((no if excluded is None else excluded).isNotNull(), "EXCLUÍDO")
         .when((no if error is None else error).isNotNull(), "SEM MEDIDA")

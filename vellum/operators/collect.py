@@ -3,6 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import tempfile
+import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -48,19 +55,25 @@ def normal_header(name: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", name or "").lower() if c.isalnum())
 
 
-def project_index(rows: DataFrame, header: list[str], cells: str = "cells") -> DataFrame:
-    """Index rows (cells: array in header order) as the named fields; other columns stay.
+def project_index(rows: DataFrame, header: list[str] | None = None, cells: str = "cells") -> DataFrame:
+    """Index rows (cells: array in header order) as the named fields; other columns stay. Without `header`, rows have their own.
 
     Of several columns with one meaning the first with a value counts; ACCUMULATED fields join all distinct values. Rows
     with neither title nor address go.
     """
-    names = [normal_header(h) for h in header]
+    names = [normal_header(h) for h in header or ()]
+    own = [c for c in rows.columns if c != cells and not (header is None and c == "header")]
+    if header is None:
+        rows = rows.withColumn("x_pairs", F.arrays_zip(F.transform("header", lambda h: T.normal_name(h)).alias("n"), F.transform(cells, lambda c: T.strip(c)).alias("v")))
     fields = {}
     for field, known in ALIASES.items():
-        found = [T.strip(F.get(cells, F.lit(i))) for i, n in enumerate(names) if n in known]
-        values = F.filter(F.array(*found), lambda v: F.coalesce(v, F.lit("")) != "") if found else F.array().cast("array<string>")
+        if header is None:
+            found = F.transform(F.filter("x_pairs", lambda z: z["n"].isin(known)), lambda z: z["v"]) if known else F.array().cast("array<string>")  # noqa: B023
+        else:
+            mine = [T.strip(F.get(cells, F.lit(i))) for i, n in enumerate(names) if n in known]
+            found = F.array(*mine) if mine else F.array().cast("array<string>")
+        values = F.filter(found, lambda v: F.coalesce(v, F.lit("")) != "")
         fields[field] = F.array_join(F.array_distinct(values), "; ") if field in ACCUMULATED else F.coalesce(F.get(values, F.lit(0)), F.lit(""))
-    own = [c for c in rows.columns if c != cells]
     out = rows.select(*own, *[v.alias(k) for k, v in fields.items()]).filter("titulo <> '' or url <> ''")
     return out.withColumn("familia", T.family("tipo"))
 
@@ -172,26 +185,131 @@ def retries(status: Column) -> Column:
     return status.isNull() | (~status.isin(200, 304) & ~status.between(400, 499))
 
 
-def fetch(items: DataFrame, fetcher: Callable[[str], tuple[int | None, dict, bytes]], attempts: int = 3) -> DataFrame:
-    """chave, url, status, headers, body, sha256 by an injected fetcher, which runs on the executors; allowed addresses only."""
-    allowed = items.filter(T.url_error("url").isNull()).select("chave", "url")
+class TooLarge(Exception):
+    """A response beyond the size limit."""
+
+
+class _Checked(urllib.request.HTTPRedirectHandler):
+    """Follows a redirect to an allowed address only."""
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        if not allowed_url(newurl):
+            raise urllib.error.URLError("redirect")
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
+def allowed_url(url: str) -> bool:
+    """text.url_error's rules on one address, for redirects that come up inside a request."""
+    try:
+        parts = urllib.parse.urlsplit(url)
+        return parts.scheme.lower() == "https" and (parts.hostname or "").lower() in P.ALLOWED_HOSTS and parts.username is None and parts.password is None and parts.port in (None, 443)
+    except ValueError:
+        return False
+
+
+def url_fetcher(timeout: float = 60.0, most_bytes: int = 200 << 20) -> Callable[[str, dict], tuple[int | None, dict, bytes]]:
+    """A fetcher over HTTPS: (status, headers, body); a null status for no answer. Redirects are checked, bodies are limited."""
+
+    def get(url: str, headers: dict) -> tuple[int | None, dict, bytes]:
+        opener = urllib.request.build_opener(_Checked)
+        try:
+            with opener.open(urllib.request.Request(url, headers={"User-Agent": "vellum", **headers}), timeout=timeout) as r:
+                body = r.read(most_bytes + 1)
+                if len(body) > most_bytes:
+                    raise TooLarge(f"resposta acima de {most_bytes} bytes")
+                return r.status, dict(r.headers), body
+        except urllib.error.HTTPError as exc:
+            return exc.code, dict(exc.headers or {}), b""
+        except (OSError, TooLarge):
+            return None, {}, b""
+
+    return get
+
+
+def fetch(items: DataFrame, fetcher: Callable[[str, dict], tuple[int | None, dict, bytes]], attempts: int = 3, pause: float = 1.0, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """chave, url, status, headers, body, sha256 by an injected fetcher, which runs on the executors; allowed addresses only.
+
+    items: chave, url, and where known etag, last_modified and at_hand (whether the recorded copy is there: else no
+    conditional request, as its answer would prove nothing). Faults of the server and missing answers are tried again
+    after 2, 4, 8 seconds at most; between items of a task is a pause, so the number of partitions sets the rate. Task
+    retries may ask again for what a lost executor had.
+    """
+    known = [c if c in items.columns else None for c in ("etag", "last_modified", "at_hand")]
+    allowed = items.filter(T.url_error("url").isNull()).select("chave", "url", *[(F.col(c) if c else F.lit(None)).cast("boolean" if k == 2 else "string").alias(f"x{k}") for k, c in enumerate(known)])
 
     def run(batches):
+        first = True
         for batch in batches:
-            out = []
-            for key, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for _ in range(attempts):
-                    status, headers, body = fetcher(url)
-                    if status in (200, 304) or (status is not None and 400 <= status < 500):
+            for key, url, etag, modified, there in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not first and pause:
+                    wait(pause)
+                first = False
+                asked = {name: v for name, v in (("If-None-Match", etag), ("If-Modified-Since", modified)) if v and there}
+                status, headers, body = None, {}, b""
+                for k in range(1, attempts + 1):
+                    status, headers, body = fetcher(url, asked)
+                    if status in (200, 304) or (status is not None and 400 <= status < 500) or k == attempts:
                         break
-                out.append((key, url, status, [*headers.items()], body, hashlib.sha256(body).hexdigest() if body else None))
-            types = (pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["chave", "url", "status", "headers", "body", "sha256"])
+                    wait(min(2**k, 8))
+                row = (key, url, status, [*headers.items()], body, hashlib.sha256(body).hexdigest() if body else None)
+                types = (pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["chave", "url", "status", "headers", "body", "sha256"])
 
     return allowed.mapInArrow(run, "chave string, url string, status int, headers map<string,string>, body binary, sha256 string")
 
 
+def download(decisions: DataFrame, items: DataFrame, registry: DataFrame, fetched: DataFrame, folder: str) -> DataFrame:
+    """chave, estado, erro, bytes, sha256, etag, last_modified, caminho of the items that decide marked `descarregar`.
+
+    fetched: fetch's answers, written once before (so no address is asked twice). Stored documents go below the folder as
+    year/number/file, which all executors see, by temporary name and rename; what is no PDF, or would replace another file
+    that nobody recorded, is not stored.
+    """
+    rows = decisions.filter("estado = 'descarregar'").select("chave").join(items.select("chave", "ano", "num_bte", "ficheiro", "url"), "chave")
+    rows = rows.join(registry.select("chave", F.col("sha256").alias("recorded"), F.col("local_sha256").alias("local")), "chave", "left").join(fetched.select("chave", "status", "headers", "body", F.col("sha256").alias("got")), "chave", "left")
+    out = download_outcome(F.col("url"), F.col("status"), F.col("body"), F.col("recorded"), F.col("local"))
+    low = F.map_from_entries(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]), e["value"])))
+    path = F.concat_ws("/", F.col("ano").cast("string"), F.col("num_bte").cast("string"), T.safe_name("ficheiro"))
+    rows = rows.select("chave", out["estado"].alias("estado"), out["erro"].alias("erro"), F.octet_length("body").cast("long").alias("bytes"), F.col("got").alias("sha256"), low["etag"].alias("etag"), low["last-modified"].alias("last_modified"), path.alias("caminho"), "body")
+
+    def store(batches):
+        for batch in batches:
+            for k, state in enumerate(batch.column(1).to_pylist()):
+                if state == "descarregado":
+                    place = os.path.join(folder, batch.column(7)[k].as_py())
+                    os.makedirs(os.path.dirname(place), exist_ok=True)
+                    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(place), suffix=".part")
+                    with os.fdopen(handle, "wb") as f:
+                        f.write(batch.column(8)[k].as_py())
+                    os.replace(temporary, place)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+
+    return rows.mapInArrow(store, "chave string, estado string, erro string, bytes long, sha256 string, etag string, last_modified string, caminho string")
+
+
+def merged_entries(entries: DataFrame, told: DataFrame) -> DataFrame:
+    """chave, entry (JSON): what a run told of a document's download put over its entry; all that the run doesn't know stays.
+
+    entries: chave, entry; told: chave and the fields of `descarga`, null where there is nothing to say. A document without
+    an entry gets one.
+    """
+    fields = [c for c in told.columns if c != "chave"]
+    rows = entries.select("chave", "entry").join(told.select("chave", F.to_json(F.struct(*fields)).alias("x_told")), "chave", "full")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, entry, new in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if new is not None:
+                    now = json.loads(entry) if entry else {"chave": key}
+                    now["descarga"] = {**(now.get("descarga") or {}), **json.loads(new)}
+                    entry = json.dumps(now, ensure_ascii=False)
+                out.append(entry)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["chave", "entry"])
+
+    return rows.mapInArrow(run, "chave string, entry string")
+
+
 def collect_summary(decisions: DataFrame) -> DataFrame:
     """estado, tipo, n: totals by state, by unknown type, and of all, in one pass."""
     unknown = F.when(F.col("motivo").startswith("tipo desconhecido"), F.coalesce(F.nullif(F.col("tipo"), F.lit("")), F.lit("(sem tipo)")))

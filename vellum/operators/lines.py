@@ -100,19 +100,21 @@ def table_blocks(lines: DataFrame, keys: list[str]) -> DataFrame:
 def joined_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_no") -> DataFrame:
     """doc, page, text: a word cut between pages moves to the page where it starts.
 
-    A page gives its first word to the page before and takes the first word of the page after; as a word ends before the
-    next blank, both can be told from the neighbours as they are, unless a page is one cut word and nothing else.
+    Pages are folded in order, as a page that gave its first word away may be cut itself.
     """
-    order = Window.partitionBy(doc).orderBy(page)
-    cut = lambda t: t.rlike("[-￾]\\z")
     head = r"^[a-zà-ÿ][\p{L}\p{N}_]*"
-    rows = pages.withColumn("text", F.regexp_replace("text", rf"{T.BLANK}+\z", ""))
-    rows = rows.withColumns({"prev": F.lag("text").over(order), "next": F.regexp_replace(F.lead("text").over(order), rf"^{T.BLANK}+", "")})
-    given = F.coalesce(cut(F.col("prev")), F.lit(False)) & F.regexp_replace("text", rf"^{T.BLANK}+", "").rlike(head)
-    start = F.when(given, F.regexp_replace(F.regexp_replace("text", rf"^{T.BLANK}+", ""), head, "")).otherwise(F.col("text"))
-    takes = cut(start) & F.coalesce(F.col("next").rlike(head), F.lit(False))
-    whole = F.when(takes, F.concat(F.regexp_replace(start, ".\\z", ""), F.regexp_extract("next", f"({head})", 1))).otherwise(start)
-    return rows.select(doc, page, T.joined_hyphens(whole).alias("text"))
+    plain = F.regexp_replace("text", rf"{T.BLANK}+\z", "")
+    rows = pages.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(plain, F.lit("")).alias("t")))).alias("all"))
+
+    def step(done: Column, x: Column) -> Column:
+        last, start = F.element_at(done, -1), F.regexp_replace(x["t"], rf"^{T.BLANK}+", "")
+        cut = F.coalesce(last["t"].rlike("[-￾]\\z"), F.lit(False)) & start.rlike(head)
+        whole = F.struct(last["p"].alias("p"), F.concat(F.regexp_replace(last["t"], ".\\z", ""), F.regexp_extract(start, f"({head})", 1)).alias("t"))
+        rest = F.struct(x["p"].alias("p"), F.regexp_replace(start, head, "").alias("t"))
+        return F.when(cut, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(whole, rest))).otherwise(F.concat(done, F.array(x)))
+
+    folded = F.aggregate(F.slice("all", 2, 1_000_000_000), F.slice("all", 1, 1), step)
+    return rows.select(doc, F.explode(folded).alias("x")).select(doc, F.col("x.p").alias(page), T.joined_hyphens(F.col("x.t")).alias("text"))
 
 
 def clean_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_no") -> DataFrame:

@@ -88,25 +88,67 @@ def atomic_write(path: str, text: str) -> None:
         raise
 
 
-def run_report(documents: DataFrame, findings: DataFrame, run_id: str, doc: str = "doc_id", most: int = 200) -> dict[str, str]:
-    """Files of a run: manifest.json, relatorio.txt, diagnostic.md. Totals are aggregated; at most `most` documents are listed.
+#: What a report calls a gate or a state.
+STATUS = {"passed": "Sem alertas automáticos", "review": "Rever", "blocked": "Bloqueado", "falhou": "Falhou", "nao_processado": "Não processado"}
 
-    documents: doc, state, gate.
+
+def status_label(state: Column, gate: Column) -> Column:
+    """The label of a failed or unprocessed document's state, else of its gate; other names stay as they are."""
+    key = F.when(state.isin("falhou", "nao_processado"), state).otherwise(F.coalesce(gate, state))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair]), key), key)
+
+
+def report_link(path: Column, parent: Column, label: Column) -> Column:
+    """A Markdown link from a folder to a path, both absolute with `/`: relative, quoted, in angle brackets."""
+    a, b = F.split(parent, "/"), F.split(path, "/")
+    pairs = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: F.coalesce(z["a"] == z["b"], F.lit(False)))
+    same = F.coalesce(F.nullif(F.array_position(pairs, False), F.lit(0)) - 1, F.least(F.size(a), F.size(b))).cast("int")
+    up = F.repeat(F.lit("../"), F.size(a) - same)
+    target = F.concat(up, F.array_join(F.slice(b, same + 1, F.greatest(F.size(b) - same, F.lit(0))), "/"))
+    quoted = F.replace(F.replace(F.replace(F.url_encode(target), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~"))
+    return F.concat(F.lit("["), T.escaped_report(label), F.lit("](<"), F.replace(quoted, F.lit("*"), F.lit("%2A")), F.lit(">)"))
+
+
+def merge_attempts(manifest: DataFrame, attempts: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The manifest with what an attempt told put over it; documents without an attempt, and fields of the manifest alone, stay."""
+    fresh = [c for c in attempts.columns if c != doc]
+    told = attempts.select(doc, F.lit(True).alias("x_told"), *[F.col(c).alias(f"x_{c}") for c in fresh])
+    joined = manifest.join(told, doc, "left")
+    put = {c: F.coalesce(f"x_{c}", c) if c in manifest.columns else F.col(f"x_{c}") for c in fresh}
+    return joined.select(doc, *[put.pop(c).alias(c) if c in put else F.col(c) for c in manifest.columns if c != doc], *[v.alias(c) for c, v in put.items()])
+
+
+def detail_lines(documents: DataFrame, findings: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, place, line: every document with its label and every finding, in report order; for sets of any size."""
+    heads = documents.select(doc, report_order(F.col("state"), F.col("gate")).alias("priority"), F.concat(F.lit("## "), T.escaped_report(F.col(doc).cast("string")), F.lit(": "), status_label(F.col("state"), F.col("gate"))).alias("line"))
+    order = Window.partitionBy(doc).orderBy("source_rank", "seq", "rule", "line", "message")
+    said = F.concat(F.lit("- "), F.col("severity"), F.lit(" "), F.col("rule"), F.lit(", linha "), F.coalesce(F.col("line").cast("string"), F.lit("0")), F.lit(": "), T.escaped_report("message"))
+    rows = findings.join(heads.select(doc, "priority"), doc).select(doc, "priority", F.row_number().over(order).alias("place"), said.alias("line"))
+    return heads.select(doc, "priority", F.lit(0).alias("place"), "line").unionByName(rows)
+
+
+def run_report(documents: DataFrame, findings: DataFrame, run_id: str, doc: str = "doc_id") -> dict[str, str]:
+    """Files of a run: manifest.json, relatorio.txt, diagnostic.md (actions by document), detalhes.md (every finding).
+
+    documents: doc, state, gate. All documents are listed, row by row; the texts are for a reader, so use detail_lines and
+    write_table for sets that no one reads as a whole.
     """
     totals = [r.asDict() for r in documents.groupBy("state", "gate").count().orderBy("state", "gate").collect()]
     rules = [r.asDict() for r in rule_counts(findings, doc).orderBy("rule", "severity").collect()]
-    listed = documents.orderBy(report_order(F.col("state"), F.col("gate")), doc).limit(most)
-    actions = review_actions(findings.join(listed.select(doc), doc, "left_semi"), doc)
-    by_doc: dict = {}
-    for a in actions.orderBy(doc, "place").collect():
-        by_doc.setdefault(a[doc], []).append(a)
-    lines = ["# Diagnóstico", ""]
-    for d in listed.collect():
-        lines.append(f"## {d[doc]}: {d.gate}")
-        lines += [f"- {a.severity} {a.rule} ×{a.n}: {a.message}" for a in by_doc.get(d[doc], [])] + [""]
+    ranked = documents.select(doc, report_order(F.col("state"), F.col("gate")).alias("priority"), status_label(F.col("state"), F.col("gate")).alias("label"))
+    actions = review_actions(findings, doc).select(doc, "place", "severity", "rule", "n", "message")
+    lines, last = ["# Diagnóstico", ""], None
+    for r in ranked.join(actions, doc, "left").orderBy("priority", doc, "place").toLocalIterator():
+        if r[doc] != last:
+            lines += [""] * (last is not None) + [f"## {r[doc]}: {r.label}"]
+            last = r[doc]
+        if r.rule is not None:
+            lines.append(f"- {r.severity} {r.rule} ×{r.n}: {r.message}")
+    details = ["# Detalhes", ""] + [r.line for r in detail_lines(documents, findings, doc).orderBy("priority", doc, "place").toLocalIterator()]
     text = [f"corrida {run_id}"] + [f"  {t['state']} {t['gate']}: {t['count']}" for t in totals] + [f"  {r['rule']} ({r['severity']}): {r['findings']} em {r['documents']}" for r in rules]
     manifest = {"run_id": run_id, "totals": totals, "rules": rules}
-    return {"manifest.json": json.dumps(manifest, ensure_ascii=False, indent=2) + "\n", "relatorio.txt": "\n".join(text) + "\n", "diagnostic.md": "\n".join(lines) + "\n"}
+    written = {"diagnostic.md": lines, "detalhes.md": details, "relatorio.txt": text}
+    return {"manifest.json": json.dumps(manifest, ensure_ascii=False, indent=2) + "\n"} | {name: "\n".join(x) + "\n" for name, x in written.items()}
 
 
 def write_reports(files: dict[str, str], folder: str, run_id: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import audit, bags, collect, geometry, lines, markdown, report, structure, tables
+from ..sources import readers
 from ..sources.scratch import written
 
 
@@ -70,13 +71,17 @@ def prepare(items: DataFrame, cells: DataFrame, doc: str = "doc_id", subtype: st
     }
 
 
-def convert(items: DataFrame, cells: DataFrame, pages: DataFrame, doc: str = "doc_id", subtype: str = "desconhecido", with_order: bool = False) -> dict[str, DataFrame]:
+def convert(items: DataFrame, cells: DataFrame, pages: DataFrame, doc: str = "doc_id", subtype: str = "desconhecido", with_order: bool = True) -> dict[str, DataFrame]:
     """prepare, then lint and audit against reference pages; measures, all findings in order, and the gate of each document."""
     out = prepare(items, cells, doc, subtype)
     plain = out["rendered"].select(doc, F.col("plain").alias("text"))
     lint = markdown.lint_findings(out["rendered"], [doc], "markdown")
-    measures = written(audit.measure(pages, plain, doc, with_order))
+    try:
+        measures = written(audit.measure(pages, plain, doc, with_order))
+    except Exception as exc:  # a measure that can't be taken is an error of the documents, not the run's end
+        measures = audit.unmeasured(plain, f"{type(exc).__name__}: {str(exc).splitlines()[0][:200]}", doc)
     audited = audit.audit_findings(measures, pages, plain, doc, out["structured"])
+    audited = audited.unionByName(audit.structure_errors(out["structured"], doc))
     findings = written(report.union_findings(lint, out["findings"].withColumn("seq", F.col("source_rank") * 1_000_000 + F.col("seq")), audited, doc=doc))
     return {**out, "measures": measures, "findings": findings, "gates": report.gates(plain.select(doc), findings, doc)}
 
@@ -87,12 +92,46 @@ def lint_files(spark: SparkSession, path: str) -> DataFrame:
     return markdown.lint_findings(files.filter(~F.col("path").contains("_auditoria")), ["path"], "value")
 
 
-def collect_index(spark: SparkSession, header: list[str], rows: DataFrame, registry: DataFrame, **options) -> dict[str, DataFrame]:
-    """valid and rejected items of an index, their decisions and the summary."""
+def collect_index(spark: SparkSession, rows: DataFrame, registry: DataFrame, header: list[str] | None = None, **options) -> dict[str, DataFrame]:
+    """valid and rejected items of an index, their decisions and the summary; rows that a reader marked are rejected as well."""
+    bad = rows.filter("problem is not null").select("file", "problem") if "problem" in rows.columns else None
+    rows = rows.filter("problem is null").drop("problem") if bad is not None else rows
     items = collect.complete_items(collect.project_index(rows, header))
     valid = items.filter("problem is null")
-    decisions = collect.decide(collect.last_wins(valid, ["chave"], ["position"]), registry, order="position", **options)
-    return {"valid": valid, "rejected": items.filter("problem is not null"), "decisions": decisions, "summary": collect.collect_summary(decisions)}
+    rejected = items.filter("problem is not null")
+    order = [c for c in ("file", "sheet", "position") if c in items.columns]
+    last = collect.last_wins(valid, ["chave"], order)
+    last = last.withColumn("x_place", F.row_number().over(Window.orderBy(*order))) if options.get("limit") is not None else last.withColumn("x_place", F.col("position"))
+    decisions = collect.decide(last, registry, order="x_place", **options)
+    rejected = rejected if bad is None else rejected.unionByName(bad, allowMissingColumns=True)
+    return {"valid": last.drop("x_place"), "rejected": rejected, "decisions": decisions, "summary": collect.collect_summary(decisions)}
 
 
-__all__ = ["collect_index", "convert", "item_lines", "lines", "lint_files", "prepare", "table_lines"]
+def collect_run(spark: SparkSession, rows: DataFrame, entries: DataFrame, folder: str, fetcher=None, **options) -> dict[str, DataFrame]:
+    """A whole collecting run: decisions, downloads (with a fetcher), and the registry after it (chave, entry).
+
+    entries: chave, entry (JSON) so far. Documents at hand below the folder are hashed, so those that are there already are
+    not fetched. An entry's fields that this run doesn't know stay.
+    """
+    json_ = lambda p: F.get_json_object("entry", f"$.descarga.{p}")
+    items = collect.complete_items(collect.project_index(rows.filter("problem is null").drop("problem"), options.pop("header", None))).filter("problem is null")
+    place = F.concat_ws("/", F.col("ano").cast("string"), F.col("num_bte").cast("string"), F.col("ficheiro"))
+    here = readers.local_hashes(spark, folder)
+    paths = items.select("chave", place.alias("path")).distinct().join(here, "path").groupBy("chave").agg(F.max("local_sha256").alias("local_sha256"))
+    known = entries.select("chave", json_("sha256").alias("sha256"), json_("etag").alias("etag"), json_("last_modified").alias("last_modified"))
+    known = written(known.join(paths, "chave", "full"))
+    out = collect_index(spark, rows, known, network=fetcher is not None, **options)
+    decided = written(out["decisions"])
+    if fetcher is None:
+        told = decided.select("chave", "estado", F.lit(None).cast("string").alias("erro"), "motivo")
+        got = None
+    else:
+        asks = decided.filter("estado = 'descarregar'").select("chave").join(out["valid"].select("chave", "url"), "chave").join(known.select("chave", "etag", "last_modified", (F.col("sha256") == F.col("local_sha256")).alias("at_hand")), "chave", "left")
+        got = written(collect.download(decided, out["valid"], known, written(collect.fetch(asks, fetcher)), folder))
+        rest = decided.filter("estado <> 'descarregar'").select("chave", "estado", F.lit(None).cast("string").alias("erro"), "motivo")
+        told = got.select("chave", "estado", "erro", F.lit(None).cast("string").alias("motivo")).unionByName(rest)
+    told = told if got is None else told.join(got.select("chave", "bytes", "sha256", "etag", "last_modified", "caminho"), "chave", "left")
+    return {**out, "decisions": decided, "downloads": told, "registry": collect.merged_entries(entries, told)}
+
+
+__all__ = ["collect_index", "collect_run", "convert", "item_lines", "lines", "lint_files", "prepare", "table_lines"]

@@ -6,10 +6,17 @@ PDF decoding, layout models, spreadsheets and the network stay behind tables: wh
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.collect import ALIASES, normal_header
+
 #: Contract tables: DDL of what the operators read.
 CONTRACT = {
     "documents": "doc_id STRING, path STRING, sha256 STRING, bytes BIGINT",
@@ -91,10 +98,51 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.withColumn("line_no", F.col("line_no") + 1)
 
 
-def index_rows(spark: SparkSession, path: str, delimiter: str = ",") -> tuple[list[str], DataFrame]:
-    """The header and the rows (file, sheet, position, cells) of an exported index in delimited text."""
-    df = spark.read.option("header", "false").option("delimiter", delimiter).option("multiLine", "true").csv(path)
-    header = [str(v or "") for v in df.limit(1).collect()[0]]
-    rows = df.select(F.input_file_name().alias("file"), F.lit("1").alias("sheet"), F.array(*df.columns).alias("cells"))
-    rows = rows.withColumn("position", F.monotonically_increasing_id())
-    return header, rows.filter(F.array_join("cells", "\u0001", "") != "\u0001".join(header))
+def delimited_sheet(content: bytes, delimiter: str = ",") -> list[tuple[str, list[list[str | None]]]]:
+    """Delimited text as one sheet, `1`."""
+    return [("1", [[v or None for v in row] for row in csv.reader(io.StringIO(content.decode("utf-8-sig")), delimiter=delimiter)])]
+
+
+def index_rows(spark: SparkSession, path: str, reader: Callable[[bytes], list[tuple[str, list[list]]]] = delimited_sheet) -> DataFrame:
+    """file, sheet, position (from 1), header, cells of every sheet of index files; and rows with a problem instead.
+
+    reader turns a file's bytes into (sheet, rows) pairs, the first row of each being its own header; one for spreadsheets
+    is injected where there is a library for them. A sheet that names neither title nor address is no index and is left
+    out; a file without such a sheet, without rows, or that the reader refuses gives one row with its problem.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    wanted = {name for field in ("titulo", "url") for name in ALIASES[field]}
+
+    def text(v) -> str | None:
+        return None if v is None or v == "" else str(v).strip()
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name, rows, problem = file.rsplit("/", 1)[-1], [], None
+                try:
+                    for sheet, found in reader(content):
+                        if found and wanted & {normal_header(str(h or "")) for h in found[0]}:
+                            header = [str(h or "") for h in found[0]]
+                            rows += [(name, sheet, k, header, [text(v) for v in row], None) for k, row in enumerate(found[1:], 1)]
+                    problem = None if rows else f"Sem linhas válidas de índice BTE em {name}."
+                except Exception as exc:  # a file that can't be read is a row of its own, not the job's end
+                    rows, problem = [], f"Índice inválido: {name}: {type(exc).__name__}"
+                if problem:
+                    rows = [(name, None, None, None, None, problem)]
+                strings = pa.list_(pa.string())
+                types = (pa.string(), pa.string(), pa.int64(), strings, strings, pa.string())
+                for a in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 10_000], strict=True), types, strict=True)], ["file", "sheet", "position", "header", "cells", "problem"])
+
+    return files.mapInArrow(run, "file string, sheet string, position long, header array<string>, cells array<string>, problem string")
+
+
+def local_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """path (below the folder, `year/number/file`), local_sha256 of the documents at hand; none where there is no folder yet."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "path string, local_sha256 string")
+    files = hashed(spark, folder, "*.pdf")
+    return files.select(F.array_join(F.slice(F.split("path", "/"), -3, 3), "/").alias("path"), F.col("sha256").alias("local_sha256"))
