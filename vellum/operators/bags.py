@@ -97,3 +97,19 @@ def reconcile_amounts(reference: DataFrame, text: DataFrame, keys: list[str], co
     compared = compare_bags(bag(reference), bag(text), keys).filter("missing > 0 or extra > 0")
     entries = lambda side: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(side) > 0, F.struct("word", side)))))
     return compared.groupBy(*keys).agg(entries("missing").alias("missing"), entries("extra").alias("extra"))
+
+
+def passages_in(texts: DataFrame, passages: DataFrame, doc: str = "doc_id", item: str = "item_id", size: int = 8) -> DataFrame:
+    """item, doc of passages (item, text) that a text (doc, text) holds as they are; passages without a word are in none.
+
+    A passage of fewer words than `size` is looked up by all of its words. Strings are built for candidates only: 64-bit
+    hashes of word runs meet first, in the few run lengths that the passages have, and whole texts are compared last.
+    """
+    lookup = passages.select(item, F.col("text").alias("passage"), T.words("text").alias("w")).filter(F.size("w") > 0)
+    lookup = lookup.select(item, "passage", F.least(F.size("w"), F.lit(size)).alias("k"), F.xxhash64(F.array_join(F.slice("w", 1, size), " ")).alias("h"))
+    lengths = lookup.agg(F.sort_array(F.collect_set("k")).alias("ks"))  # at most `size` numbers
+    rows = texts.select(doc, T.words("text").alias("w")).crossJoin(F.broadcast(lengths)).select(doc, "w", F.explode("ks").alias("k")).filter(F.size("w") >= F.col("k"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("k")), " ")))
+    met = rows.select(doc, "k", F.explode(F.array_distinct(runs)).alias("h")).join(lookup.select("k", "h", item), ["k", "h"]).select(doc, item).distinct()
+    both = met.join(texts.select(doc, "text"), doc).join(lookup.select(item, "passage"), item)
+    return both.filter(F.contains("text", F.col("passage"))).select(item, doc).distinct()

@@ -66,6 +66,11 @@ def structure_summary(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
     return nodes.groupBy(doc).agg(*[count(k).alias(k) for k in ("capitulo", "seccao", "anexo", "clausula", "artigo", "paragrafo")], labels.alias("labels"))
 
 
+def equal_contents(documents: DataFrame, digest: Column, doc: str = "doc_id") -> DataFrame:
+    """sha256, n, first: contents that several documents share, with the least of them."""
+    return documents.groupBy(digest.alias("sha256")).agg(F.count("*").alias("n"), F.min(doc).alias("first")).filter("n > 1")
+
+
 def duplicate_outputs(paths: DataFrame, path: str = "path", reserved: tuple = ("_auditoria",)) -> DataFrame:
     """Output names that meet in lower case, or use a reserved first part."""
     name = F.lower(F.col(path))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, bags, collect, geometry, lines, markdown, report, sanity, structure, tables
+from ..sources import readers
 
 QUERIES: dict = {}
 
@@ -142,15 +143,18 @@ def q13_char_classes(spark, sf):
 
 @query
 def q14_exact_duplicates(spark, sf):
-    return docs(spark, sf).groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    return report.equal_contents(docs(spark, sf), F.sha2("text", 256)).select("sha256", "n", F.col("first").alias("first_id"))
 
 
 @query
 def q15_cache_check(spark, sf):
-    d = docs(spark, sf)
-    kept = d.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("stem"), F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("recorded"))
-    state = F.when(F.col("recorded").isNull(), "missing").when(F.sha2("text", 256) == F.col("recorded"), "valid").otherwise("stale")
-    return d.join(kept, d["doc_id"] == kept["stem"], "left").select("doc_id", state.alias("state"))
+    d, k = docs(spark, sf), F.col("doc_id")
+    stem = k.cast("string").alias("stem")
+    here = d.select(stem, F.lit("p").alias("path"), F.sha2("text", 256).alias("sha256"))
+    told = F.sha2(F.when(k % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)
+    quality = d.filter("doc_id % 7 <> 0").select(stem, told.alias("source_sha256"), F.sha2("text", 256).alias("document_sha256"))
+    state = F.when(F.col("state").startswith("stale"), "stale").otherwise(F.col("state"))
+    return readers.cached_layouts(here, here, quality).select(F.col("stem").cast("long").alias("doc_id"), state.alias("state"))
 
 
 _CODES = ["CCT", "CCT-ALT", "ACTV", "ACT-RECT", "ACEP", "AE-ALT-RECT", "DA", "PE", "PCT", "PRT", "AVISO", "AV", "AA", "ST", ""]
@@ -333,11 +337,14 @@ def q32_heading_jumps(spark, sf):
 
 
 def _findings(spark, sf):
+    """Three rules over documents in one scan: amounts and reversed words of a text, and lines that fell into one."""
     d = docs(spark, sf)
-    row = lambda df, rule, severity: df.select("doc_id", F.lit(0).alias("seq"), F.lit(rule).alias("rule"), F.lit(0).alias("line"), F.lit("").alias("message"), F.lit(severity).alias("severity"))
-    money = d.select("doc_id", F.explode(T.amounts("text")).alias("a"))
-    shape = d.select("doc_id", F.explode(F.filter(T.words("text"), lambda w: T.is_reversed(w))).alias("w"))
-    return report.union_findings(row(money, "AMOUNTS", "error"), row(q10_long_lines(spark, sf), "LONG_LINE", "warning"), row(shape, "REVERSED", "info"))
+    w = F.filter(T.words("text"), lambda w: T.is_reversed(w))
+    found = F.concat(F.transform(T.amounts("text"), lambda a: F.struct(F.lit(0).alias("k"), a.alias("v"))), F.transform(w, lambda x: F.struct(F.lit(1).alias("k"), x.alias("v"))))
+    words = d.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.k")
+    row = lambda df, rule, severity: df.select("doc_id", F.lit(0).alias("seq"), rule.alias("rule"), F.lit(0).alias("line"), F.lit("").alias("message"), severity.alias("severity"))
+    rule, severity = F.when(F.col("k") == 0, "AMOUNTS").otherwise("REVERSED"), F.when(F.col("k") == 0, "error").otherwise("info")
+    return report.union_findings(row(words, rule, severity), row(q10_long_lines(spark, sf), F.lit("LONG_LINE"), F.lit("warning")))
 
 
 @query
@@ -372,12 +379,7 @@ def q36_wrapped_repair(spark, sf):
 
 @query
 def q37_passages_in_documents(spark, sf):
-    size = 8
-    grams = lambda df, key: df.select(key, "text", T.words("text").alias("w"))
-    bench = grams(table(spark, sf, "benchmark"), "item_id").select("item_id", F.col("text").alias("passage"), F.array_join(F.slice("w", 1, size), " ").alias("gram"), F.least(F.size("w"), F.lit(size)).alias("k"))
-    d = grams(docs(spark, sf), "doc_id").filter(F.size("w") >= size)
-    d = d.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, F.lit(size)), " ")))).alias("gram"))
-    return bench.join(d, "gram").filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id").distinct()
+    return bags.passages_in(docs(spark, sf), table(spark, sf, "benchmark"))
 
 
 @query
