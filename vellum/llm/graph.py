@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,39 @@ def _minima(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
+#: Nodes that a task holds while it shortens the chains of its own edges.
+HELD = 500_000
+
+
+def _shortened(batches):
+    """Edges of the same components: those of a task become stars, so that chains need few rounds."""
+    parent: dict = {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def stars(kinds) -> pa.RecordBatch:
+        edges = [(x, r) for x in parent if (r := find(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], kinds[i]) for i in (0, 1)], ["u", "v"])
+
+    kinds = None
+    for batch in batches:
+        kinds = [c.type for c in batch.columns]
+        for u, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        if len(parent) > HELD:
+            yield stars(kinds)
+    if parent:
+        yield stars(kinds)
+
+
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the least node reachable. Types need an order only.
 
@@ -19,7 +53,9 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     point to the least of them. The number of edges never grows, and the rounds grow with the logarithm of the nodes.
     """
     scratch = scratch or Scratch(edges.sparkSession)
-    now = scratch.save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    kind = edges.schema["u"].dataType.simpleString()
+    stars = edges.filter("u <> v").select("u", "v").mapInArrow(_shortened, f"u {kind}, v {kind}")
+    now = scratch.save(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
