@@ -1,9 +1,10 @@
 """Byte-level BPE: a global shuffle of distinct words, ids joined back, documents reassembled by position.
 
-Documents are read in blocks of about BLOCK bytes. A block's distinct pre-tokens go, packed by hash bucket, to the bucket's
-task, which encodes each distinct word of the corpus once and sends the ids back to the blocks that asked. There the
-pre-tokens, found again in their positions, take their ids; the ids are decoded by joining the table of token bytes. The
-occurrences themselves never shuffle: a word in a million places of a block crosses the network once.
+Documents are read once, in blocks of about BLOCK bytes. A block's pre-tokens with their positions become a sequence of
+numbers of its distinct words, packed in one row instead of a row for each occurrence. The distinct words go, packed by
+hash bucket, to the bucket's task, which encodes each distinct word of the corpus once and sends the ids to the blocks that
+asked. There the numbers, in the order of their positions, take their ids, and the ids are decoded by joining the table of
+token bytes on them. A word in a million places of a block crosses the network once; texts never do.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import blocks
 
 BLOCK = 16 << 20
+#: Hash buckets of words, at most.
+BUCKETS = 4096
 #: White space, and the letters and numbers below U+02C2 (fixed values of Unicode).
 SPACE = "\t-\r \x85\xa0"
 SPACE_ALL = SPACE + "  -     　"
@@ -46,7 +49,7 @@ def splitter(pattern: str):
 
 
 def vocabulary(path: str):
-    """(encode a word's bytes, the bytes of each token), once in each worker."""
+    """(encode a word's bytes, the token-byte table: the bytes of each token at its id), once in each worker."""
     if path not in _READY:
         import tiktoken
 
@@ -54,13 +57,16 @@ def vocabulary(path: str):
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         # One pre-token at a time is encoded, so the pattern takes the whole of it.
         core = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        _READY[path] = core.encode_single_piece, {v: k for k, v in ranks.items()}
+        table: list = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        _READY[path] = core.encode_single_piece, pa.array(table, pa.large_binary())
     return _READY[path]
 
 
 def _pack(parts: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, parts), np.uint32, len(parts)).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(len(parts).to_bytes(4, "little") + sizes + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(len(parts).to_bytes(4, "little") + sizes + b"".join(parts))
 
 
 def _unpack(packed: bytes) -> list[bytes]:
@@ -74,35 +80,81 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _numbered(batches, size: int):
-    """Blocks with ids that a second reading of the same split finds again."""
-    base = TaskContext.get().partitionId() << 32
-    for k, batch in enumerate(blocks(batches, "x_text", size)):
-        yield base + k, batch
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, bytes of one weight together, which packs better."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _asks(pattern: str, buckets: int, size: int):
-    """(block, bucket, words): the distinct words of each block, packed by bucket."""
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+#: Numbers below ONE take a byte, those below ONE + 256 * TWO two, all others five.
+ONE, TWO = 224, 31
+
+
+def _short(numbers: np.ndarray) -> list[bytes]:
+    """Numbers most of which are small, as lead bytes, second bytes and the large ones."""
+    one, two = numbers < ONE, (numbers >= ONE) & (numbers < ONE + 256 * TWO)
+    more = numbers[two] - ONE
+    lead = np.full(len(numbers), 255, np.uint8)
+    lead[one], lead[two] = numbers[one], ONE + more // 256
+    return [lead.tobytes(), (more % 256).astype(np.uint8).tobytes(), _planes(numbers[~one & ~two])]
+
+
+def _from_short(lead: bytes, more: bytes, large: bytes) -> np.ndarray:
+    out = np.frombuffer(lead, np.uint8).astype(np.int64)
+    two, rest = (out >= ONE) & (out < 255), out == 255
+    out[two] = ONE + (out[two] - ONE) * 256 + np.frombuffer(more, np.uint8)
+    out[rest] = _from_planes(large)
+    return out
+
+
+class _Places(dict):
+    """Numbers of words, in the order of their first appearance."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+_ROWS = "x_block long, x_to int, x_bucket int, x_data binary"
+
+
+def _read(pattern: str, buckets: int, size: int):
+    """For each block a row for each bucket, its distinct words, and one without a bucket: the documents as word numbers."""
 
     def run(batches):
         split = splitter(pattern)
-        for block, batch in _numbered(batches, size):
-            words: set[str] = set()
+        base = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(blocks(batches, "x_text", size)):
+            place, found = _Places(), []
             for text in batch.column(1).to_pylist():
-                words.update(split(text or ""))
-            dealt: dict[int, list[bytes]] = {}
-            for word in sorted(map(_raw, words)):
-                dealt.setdefault(zlib.crc32(word) % buckets, []).append(word)
-            del words
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(dealt), pa.int64()), pa.array(list(dealt), pa.int32()), pa.array(map(_pack, dealt.values()), pa.binary())], ["x_block", "x_bucket", "x_words"]
-            )
+                words = split(text or "")
+                found.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
+            codes = np.concatenate(found)
+            # Numbers by frequency pack best. A bucket holds its words in this order, so their buckets tell where the ids go.
+            often = np.argsort(-np.bincount(codes, minlength=len(place)), kind="stable")
+            number = np.empty(len(place), np.int64)
+            number[often] = np.arange(len(place))
+            words = list(map(_raw, place))
+            words = [words[i] for i in often.tolist()]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
+            order = np.argsort(bucket, kind="stable")
+            ids = batch.column(0)
+            body = [ids.fill_null(0).to_numpy().tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), _planes(np.array([len(f) for f in found])), _planes(bucket), *_short(number[codes])]
+            out = [(base + k, zlib.crc32((base + k).to_bytes(8, "little")) & 0x7FFFFFFF, None, _pack(body))]
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            for own in np.split(order, cuts) if len(order) else ():
+                b = int(bucket[own[0]])
+                out.append((base + k, b, b, _pack([words[i] for i in own.tolist()])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["x_block", "x_to", "x_bucket", "x_data"])
 
     return run
 
 
 def _answers(path: str):
-    """For one partition of buckets, each bucket's rows together: the ids of its words, each word encoded once."""
+    """Each bucket's rows together: the ids of its words in their order, each word encoded once. Documents pass through."""
 
     def run(batches):
         encode, _ = vocabulary(path)
@@ -110,57 +162,51 @@ def _answers(path: str):
         last = None
         for batch in batches:
             out = []
-            for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for bucket, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if bucket is None:
+                    out.append(data)
+                    continue
                 if bucket != last:
                     known, last = {}, bucket
                 ids = []
-                for word in _unpack(packed):
+                for word in _unpack(data):
                     if word not in known:
                         known[word] = np.asarray(encode(word), np.uint32).tobytes()
                     ids.append(known[word])
-                out.append(_pack(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["x_block", "x_words", "x_ids"])
-
-    return run
-
-
-def _bodies(size: int):
-    """(block, packed ids and texts of its documents)."""
-
-    def run(batches):
-        for block, batch in _numbered(batches, size):
-            ids = [b"" if i is None else i.to_bytes(8, "little", signed=True) for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_pack(ids + [_raw(t) for t in batch.column(1).to_pylist()])], pa.binary())], ["x_block", "x_body"])
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                out.append(_pack([_planes(sizes), _planes(np.frombuffer(b"".join(ids), np.uint32))]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["x_block", "x_bucket", "x_data"])
 
     return run
 
 
-def _reassemble(pattern: str, path: str):
-    """One block: its documents' ids in order, digests, and the bytes decoded from the ids."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        encode, table = vocabulary(path)
-        split = splitter(pattern)
-        place: dict[str, int] = {}
-        found: list[bytes] = []
-        for words, ids in zip(right.column("x_words").to_pylist(), right.column("x_ids").to_pylist(), strict=True):
-            for word, own in zip(_unpack(words), _unpack(ids), strict=True):
-                place[word.decode("utf-8", "surrogatepass")] = len(place)
-                found.append(own)
+def _reassemble(path: str):
+    """One block: its documents' ids in order of position, digests, and the bytes decoded from the ids."""
+
+    def run(block: pa.Table) -> pa.Table:
+        _, table = vocabulary(path)
+        rows = sorted(zip([-1 if b is None else b for b in block.column("x_bucket").to_pylist()], block.column("x_data").to_pylist(), strict=True), key=lambda r: r[0])
+        answers = [_unpack(data) for _, data in rows[1:]]
+        size = np.concatenate([np.zeros(0, np.int64), *[_from_planes(sizes) for sizes, _ in answers]]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *[_from_planes(ids) for _, ids in answers]]).astype(np.uint32)
+        start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        raw_ids, nulls, counts, buckets, *short = _unpack(rows[0][1])
+        place = np.empty(len(size), np.int64)
+        place[np.argsort(_from_planes(buckets), kind="stable")] = np.arange(len(size))
+        words = place[_from_short(*short)]
+        own = size[words]
+        ends = np.cumsum(own)
+        ids = flat[np.repeat(start[words] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        decoded = table.take(pa.array(ids))
+        # A take of a whole block is one array, as offsets are 64 bits wide.
+        off = np.frombuffer(decoded.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = memoryview(decoded.buffers()[2]) if len(ids) else memoryview(b"")
+        stops = np.concatenate([[0], np.cumsum(_from_planes(counts))]).astype(np.int64)
+        marks = np.concatenate([[0], ends]).astype(np.int64)[stops]
+        raw = ids.astype("<u4").tobytes()
         out = []
-        for body in left.column("x_body").to_pylist():
-            parts = _unpack(body)
-            n = len(parts) // 2
-            for own, raw in zip(parts[:n], parts[n:], strict=True):
-                text = raw.decode("utf-8", "surrogatepass")
-                words = split(text)
-                for word in words if not all(map(place.__contains__, words)) else ():
-                    if word not in place:  # the block was cut otherwise when the words were gathered, as its input isn't in a stable order
-                        place[word] = len(place)
-                        found.append(np.asarray(encode(_raw(word)), np.uint32).tobytes())
-                ids = b"".join([found[place[w]] for w in words])
-                decoded = b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                out.append((int.from_bytes(own, "little", signed=True) if own else None, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        for i, null, a, b in zip(np.frombuffer(raw_ids, np.int64).tolist(), nulls, marks[:-1].tolist(), marks[1:].tolist(), strict=True):
+            out.append((None if null else i, b - a, hashlib.sha256(raw[4 * a : 4 * b]).hexdigest(), hashlib.sha256(data[off[a] : off[b]]).hexdigest()))
         return pa.table(
             [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -173,16 +219,14 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
     """Per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, as the tiktoken library's encode_ordinary has the ids.
 
     A null text is empty: no tokens, digests of nothing. Rows are independent, so ids may be null or repeated; other columns
-    are ignored; an empty table gives no rows. Memory: a block (or the longest text) and its distinct words in the tasks
-    that read and reassemble, a bucket's distinct words in those that encode; more buckets make these smaller.
+    are ignored; an empty table gives no rows. Memory: a block (or the longest text), its distinct words and word numbers in
+    the tasks that read and reassemble, a bucket's distinct words in those that encode.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    read = docs.select(F.col(id).cast("long").alias("x_id"), F.col(text).alias("x_text"))
-    asks = read.mapInArrow(_asks(pattern, buckets, block_bytes), "x_block long, x_bucket int, x_words binary")
-    asks = asks.repartition(buckets, "x_bucket").sortWithinPartitions("x_bucket")
-    answers = asks.mapInArrow(_answers(path), "x_block long, x_words binary, x_ids binary")
-    bodies = read.mapInArrow(_bodies(block_bytes), "x_block long, x_body binary")
-    return bodies.groupBy("x_block").cogroup(answers.groupBy("x_block")).applyInArrow(
-        _reassemble(pattern, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    partitions = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or min(BUCKETS, partitions)
+    own = docs.select(F.col(id).cast("long").alias("x_id"), F.col(text).alias("x_text"))
+    rows = own.mapInArrow(_read(pattern, buckets, block_bytes), _ROWS)
+    rows = rows.repartition(max(buckets, partitions), "x_to").sortWithinPartitions("x_bucket")
+    answers = rows.mapInArrow(_answers(path), "x_block long, x_bucket int, x_data binary")
+    return answers.groupBy("x_block").applyInArrow(_reassemble(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
