@@ -127,3 +127,26 @@ def test_numbers_at_ends_of_lines_stay(spark, text):
 
     got = spark.createDataFrame([(text,)], "t string").select(title_lines(F.col("t")).alias("x")).first().x
     assert got == [x.strip() for x in text.split("\n") if x.strip()]
+
+
+def test_documents_that_are_rows_need_no_shuffle(spark):
+    texts = {1: ["CAPÍTULO I", "Geral", "Cláusula 1.ª", "Âmbito", "O texto fica", "em vigor."], 2: [], 3: None, 4: ["um texto", "que segue."]}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id int, lines array<string>")
+    by_line = rows.select("doc_id", F.posexplode(F.col("lines")).alias("line_no", "text"))
+    for new, old in ((structure.structured_rows(rows), structure.structured(by_line)),):
+        want = {r.doc_id: (r.text, r.nodes) for r in old.collect()}
+        got = {r.doc_id: (r.text, r.nodes) for r in new.collect()}
+        assert {k: got[k] for k in want} == want and set(got) == {1, 2, 3, 4} and all(r.error is None for r in new.collect())
+    assert "Exchange" not in structure.structured_rows(rows)._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for r in structure.joined(by_line).orderBy("doc_id", "line_no").collect():
+        want.setdefault(r.doc_id, []).append(r.text)
+    assert {r.doc_id: r.lines for r in structure.joined_rows(rows).collect()} == want | {2: [], 3: []}
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from vellum.sources import scratch
+
+    scratch.clear(spark)
+    kept = scratch.written(spark.range(3))
+    assert kept.count() == 3 and scratch.clear(spark) == 1 and scratch.clear(spark) == 0

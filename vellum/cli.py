@@ -13,11 +13,19 @@ from pyspark.sql import functions as F
 from .functions import patterns as P
 from .operators import collect, report
 from .plans import convert
-from .sources import readers, sinks
+from .sources import readers, scratch, sinks
 
 
 def main(args: list[str] | None = None) -> int:
-    """Exit code: 1 with a failure or an error, 2 with --strict and anything but info, else 0."""
+    """Exit code: 1 with a failure or an error, 2 with --strict and anything but info, else 0. Shared scratch tables go at the end."""
+    try:
+        return _run(args)
+    finally:
+        if spark := SparkSession.getActiveSession():
+            scratch.clear(spark)
+
+
+def _run(args: list[str] | None) -> int:
     parser = argparse.ArgumentParser(prog="vellum")
     commands = parser.add_subparsers(dest="command", required=True)
     lint = commands.add_parser("lint", help="findings of Markdown files as JSON lines")

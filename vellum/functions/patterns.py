@@ -59,7 +59,7 @@ ROMAN_LINE = r"^\s*[IVXLC]{1,5}\s*$"
 CLAUSE_LETTERS_GO_ON = r"^[a-z]\)\s+(?:e\b|ou\b|[a-zà-ú])"
 SIGNATURE = r"(?iu)^(?:Pel[ao]s?\s|Depositado em\b|Pel['´]\s?)"
 SIGNING_DATE = r"^[A-ZÀ-Ú][\wà-ÿ\s]*,\s+\d{1,2}\s+de\s+[a-zç]+\s+de\s+\d{4}\s*\.?\s*$"
-LINKING_WORDS = "a o as os de da do das dos e em na no nas nos para por com à ao aos às".split()
+LINKING_WORDS = ["a", "o", "as", "os", "de", "da", "do", "das", "dos", "e", "em", "na", "no", "nas", "nos", "para", "por", "com", "à", "ao", "aos", "às"]
 MOST_LOWER_WORDS = 3
 LOWER_WORD = r"(?<![\w-])[a-zà-ÿ][\wà-ÿ]*"
 REFERENCE_REST = r"^\s*[,;]"

@@ -585,3 +585,111 @@ def q95_registry_upsert(spark, sf):
     known = c.filter("c_custkey % 5 <> 0").select(k.cast("string").alias("chave"), F.lit("velho").alias("titulo"), F.lit("v").alias("url"), k.alias("kept"))
     items = c.select(k.cast("string").alias("chave"), F.when(k % 2 == 0, F.concat(F.lit("novo "), F.col("c_name"))).otherwise("").alias("titulo"), F.when(k % 3 == 0, "u").alias("url"))
     return collect.upsert(known, items, ["titulo", "url"])
+
+
+@query(r"""
+SELECT p_partkey, '[p' || p_partkey || '\]](<' || CASE WHEN p_partkey % 2 = 0 THEN '../../' ELSE '' END || 'd' || (p_size % 3) || '/a%20' || p_partkey || '%C3%A9.md>)' AS link FROM part""")
+def q96_report_links(spark, sf):
+    k, folder = F.col("p_partkey").cast("string"), F.concat(F.lit("/out/d"), (F.col("p_size") % 3).cast("string"))
+    path = F.concat(folder, F.lit("/a "), k, F.lit("é.md"))
+    parent = F.when(F.col("p_partkey") % 2 == 0, "/out/_auditoria/corridas").otherwise("/out")
+    return table(spark, sf, "part").select("p_partkey", report.report_link(path, parent, F.concat(F.lit("p"), k, F.lit("]"))).alias("link"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ['Falhou', 'Não processado'][1 + o_orderkey % 2] ELSE ['Sem alertas automáticos', 'Rever', 'Bloqueado'][1 + o_custkey % 3] END AS label FROM orders""")
+def q97_status_labels(spark, sf):
+    state = F.when(F.col("o_orderkey") % 3 == 0, at("o_orderkey", "falhou", "nao_processado")).otherwise("convertido")
+    return table(spark, sf, "orders").select("o_orderkey", report.status_label(state, at("o_custkey", "passed", "review", "blocked")).alias("label"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, repeat('x', (p_partkey % 90)::INTEGER) || ' alvo' || chr(10) || repeat('y', (p_size * 2)::INTEGER) AS t, p_partkey % 90 + 2 AS p FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE CASE WHEN p - 70 > 1 THEN '…' ELSE '' END || replace(substr(t, greatest(1, p - 70), least(length(t), p + 3 + 70) - greatest(1, p - 70) + 1), chr(10), ' ⏎ ')
+  || CASE WHEN p + 3 + 70 < length(t) THEN '…' ELSE '' END END AS shown FROM t""")
+def q98_word_contexts(spark, sf):
+    """The first whole occurrence with 70 characters on both sides; a part of a longer word is none."""
+    text = F.concat(F.repeat(F.lit("x"), (F.col("p_partkey") % 90).cast("int")), F.lit(" alvo\n"), F.repeat(F.lit("y"), (F.col("p_size") * 2).cast("int")))
+    return table(spark, sf, "part").select("p_partkey", T.context(text, F.when(F.col("p_partkey") % 7 == 0, "alv").otherwise("alvo")).alias("shown"))
+
+
+@query("""
+SELECT s_suppkey AS doc_id, 1 AS item_seq, 0 AS k, 'a) O ' || s_name || ';' AS text FROM supplier UNION ALL SELECT s_suppkey, 1, 1, 'b) Outro;' FROM supplier UNION ALL
+SELECT s_suppkey, 1, 2, 'c) Mais' FROM supplier UNION ALL SELECT s_suppkey, 4, 0, '17' FROM supplier""")
+def q99_items_to_lines(spark, sf):
+    """Fused list items come apart, items that are or begin with page furniture go, a lone number stays."""
+    from .convert import item_lines
+
+    texts = F.array(F.concat(F.lit("a) O "), F.col("s_name"), F.lit("; b) Outro; c) Mais")), F.lit("Boletim do Trabalho e Emprego 31 22 agosto 2026 o resto"), F.lit("BTE 31 | 4"), F.lit("17"))
+    items = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.posexplode(texts).alias("p", "text"))
+    items = items.select("doc_id", (F.col("p") + 1).alias("item_seq"), (F.col("p") + 1).alias("place"), F.when(F.col("p") == 0, "list").otherwise("text").alias("kind"), "text", F.lit(None).cast("string").alias("orig"), F.lit(None).cast("string").alias("marker"))
+    return item_lines(items)[0].select("doc_id", "item_seq", "k", "text")
+
+
+@query("""
+SELECT n_nationkey AS doc_id, 3 * count(c_custkey) AS words, CASE WHEN n_nationkey % 3 = 1 THEN round(1 - 3.0 / (3 * count(c_custkey)), 6) ELSE 1.0 END AS coverage,
+  CASE WHEN n_nationkey % 3 = 1 THEN round(1 - 3.0 / (3 * count(c_custkey)), 6) ELSE 1.0 END AS matched, CASE WHEN n_nationkey % 3 <> 1 THEN 'OK' WHEN 1 - 3.0 / (3 * count(c_custkey)) < 0.97 THEN 'FALHA' ELSE 'ATENÇÃO' END AS verdict
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(*) > 1""")
+def q100_completeness(spark, sf):
+    """Reference pages against texts that hold all, or all but one line: coverage, order and verdict of the whole measure."""
+    from ..operators import audit
+
+    c = table(spark, sf, "customer")
+    line = F.concat(F.lit("linha "), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"), F.lit(" fim."))
+    rows = c.select(F.col("c_nationkey").alias("doc_id"), "c_custkey", line.alias("text"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("c_custkey")) == 1
+    rows = rows.withColumn("first", first).withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).filter("n > 1")
+    whole = lambda df: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    pages = whole(rows).withColumn("page_no", F.lit(1))
+    out = audit.measure(pages, whole(rows.filter(~F.col("first") | (F.col("doc_id") % 3 != 1))))
+    return out.select("doc_id", F.col("reference_words").alias("words"), F.round("coverage", 6).alias("coverage"), F.round("order", 6).alias("matched"), "verdict")
+
+
+@query("""
+SELECT c_custkey AS doc_id, 0 AS seq, 'COMPLETENESS' AS rule, 'error' AS severity FROM customer WHERE c_custkey % 4 = 0 UNION ALL
+SELECT c_custkey, 1, 'REFERENCE_EMPTY', 'error' FROM customer WHERE c_custkey % 4 = 1 UNION ALL
+SELECT c_custkey, 2, 'AMOUNTS', 'error' FROM customer WHERE c_custkey % 4 = 2 UNION ALL
+SELECT c_custkey, 3, 'TABLE_AUDIT', 'warning' FROM customer WHERE c_custkey % 2 = 0 UNION ALL
+SELECT c_custkey, 4, 'TABLES_MISSING', 'error' FROM customer WHERE c_custkey % 2 = 0""")
+def q101_audit_findings(spark, sf):
+    """Each part of the audit on documents made for it: a bad measure, an empty reference, other amounts, lost tables."""
+    from ..operators import audit
+
+    k = F.col("c_custkey")
+    d = table(spark, sf, "customer").select(k.alias("doc_id"), F.when(k % 4 == 0, "FALHA").otherwise("OK").alias("verdict"), F.when(k % 4 == 1, 0).otherwise(9).cast("long").alias("reference_words"), F.lit(0.5).alias("coverage"), F.lit(0.0).alias("excess"), F.lit(1.0).alias("order"))
+    pages = d.select("doc_id", F.lit(1).alias("page_no"), F.lit("são 1.234,50 euros").alias("text"))
+    texts = d.select("doc_id", F.when(F.col("doc_id") % 4 == 2, "são 1234,60 euros").otherwise("são 1234,50 euros").alias("text"))
+    counts = d.select("doc_id", F.lit(1).alias("reference_tables"), (F.col("doc_id") % 2).cast("int").alias("text_tables"))
+    return audit.audit_findings(d, pages, texts, table_counts=counts).select("doc_id", "seq", "rule", "severity")
+
+
+@query("""
+WITH l AS (SELECT p_brand, p_partkey, 1 + p_size % 5 AS level, lag(1 + p_size % 5) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part)
+SELECT p_brand, p_partkey, level > coalesce(b, 0) + 1 AS jump FROM l""")
+def q102_level_jumps(spark, sf):
+    rows = table(spark, sf, "part").select("p_brand", "p_partkey", (F.col("p_size") % 5 + 1).alias("level"))
+    before = F.lag("level").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return rows.withColumn("before", before).select("p_brand", "p_partkey", markdown.heading_jumps(F.col("level"), F.col("before")).alias("jump"))
+
+
+@query("""
+SELECT c_custkey::VARCHAR AS chave, 'falhado' AS estado, CASE WHEN c_custkey % 2 = 0 THEN 'antes' END AS data, c_custkey % 5 = 0 AS fresh FROM customer""")
+def q103_merged_entries(spark, sf):
+    """What a run tells goes over a registry entry's download; other fields stay; documents without an entry get one."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer")
+    entry = F.concat(F.lit('{"chave":"'), k.cast("string"), F.lit('","x":[1],"descarga":{"estado":"?"'), F.when(k % 2 == 0, ',"data":"antes"').otherwise(""), F.lit("}}"))
+    told = c.select(k.cast("string").alias("chave"), F.lit("falhado").alias("estado"), F.when(k % 10 == 0, "antes").alias("data"))
+    out = collect.merged_entries(c.filter("c_custkey % 5 <> 0").select(k.cast("string").alias("chave"), entry.alias("entry")), told)
+    get = lambda p: F.get_json_object("entry", p)
+    return out.select("chave", get("$.descarga.estado").alias("estado"), get("$.descarga.data").alias("data"), get("$.x").isNull().alias("fresh"))
+
+
+@query("""
+WITH m AS (SELECT o_orderkey, o_orderstatus, o_custkey FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'falhou' ELSE o_orderstatus END AS state, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'E' || o_orderkey END AS error FROM m""")
+def q104_attempts_over_manifest(spark, sf):
+    o = table(spark, sf, "orders")
+    manifest = o.select("o_orderkey", F.col("o_orderstatus").alias("state"), "o_custkey")
+    tried = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lit("falhou").alias("state"), F.concat(F.lit("E"), F.col("o_orderkey").cast("string")).alias("error"))
+    return report.merge_attempts(manifest, tried, "o_orderkey")

@@ -269,9 +269,8 @@ def q26_line_joining(spark, sf):
     small = F.filter(T.words(F.lower("text")), lambda w: w.rlike(r"^\p{Ll}{2,}$"))
     rows = docs(spark, sf).select("doc_id", small.alias("w")).filter(F.size("w") > 0)
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 12).cast("int")), lambda i: F.array_join(F.slice("w", i * 12 + 1, F.lit(12)), " "))
-    broken = rows.select("doc_id", F.posexplode(cut).alias("line_no", "text"))
-    out = structure.joined(broken)
-    return out.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sha2(F.max("text"), 256).alias("sha256"))
+    out = structure.joined_rows(rows.select("doc_id", cut.alias("lines")))
+    return out.select("doc_id", F.size("lines").cast("long").alias("lines"), F.sha2(F.array_max("lines"), 256).alias("sha256"))
 
 
 def _boxes(spark, sf):

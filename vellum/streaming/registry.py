@@ -40,11 +40,15 @@ def versions(base: str) -> tuple[Callable[[SparkSession], DataFrame | None], Cal
 
 
 def keep_registry(items: DataFrame, base: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Starts a query that puts each batch's last item of a key over the registry; a repeated batch changes nothing."""
+    """Starts a query that puts each batch's last item of a key over the registry; a repeated batch changes nothing.
+
+    Items of one time are ordered by their fields, so a rerun agrees. Each version is a whole table: the registry is a
+    catalogue's index, far smaller than its documents.
+    """
     read, write = versions(base)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        latest = last_wins(df, ["chave"], ["seen_at"]).select("chave", *FIELDS)
+        latest = last_wins(df, ["chave"], ["seen_at", *FIELDS]).select("chave", *FIELDS)
         known = read(df.sparkSession)
         write(latest if known is None else upsert(known, latest, FIELDS), epoch)
 
