@@ -39,12 +39,13 @@ def _found(text: Column, pattern: str) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        item = F.struct(start.alias("start"), end.alias("end"), x["whole"].alias("whole"), x["value"].alias("value"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.concat(acc["out"], F.when(end.isNotNull(), F.array(item)).otherwise(empty)).alias("out"))
+        return F.struct((start + F.coalesce(F.length(x["whole"]), F.lit(0))).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
 
-    folded = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(empty)
+    # The fold keeps places only: texts of many matches copy a few bytes for each match before, not the matches.
+    starts = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+    both = F.filter(F.arrays_zip(zipped.alias("x"), starts.alias("start")), lambda z: z["x"]["whole"].isNotNull())
+    items = F.transform(both, lambda z: F.struct(z["start"].alias("start"), (z["start"] + F.length(z["x"]["whole"])).alias("end"), z["x"]["whole"].alias("whole"), z["x"]["value"].alias("value")))
+    return F.when(text.rlike(pattern), items).otherwise(empty)
 
 
 def _nlogn(c: Column) -> Column:
