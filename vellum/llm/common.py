@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,28 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 #: ASCII white space as the contracts define it; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is spark.checkpoint.dir where the cluster names one. Unset, a local master gets a temporary folder (tests);
-    a cluster gets a folder beside its warehouse, never one local to a machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.startswith("local"):
-            found = tempfile.mkdtemp(prefix="vellum-")
-        else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_vellum"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor rereads them instead of recomputing."""
 
@@ -64,6 +49,11 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns of docs, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """A name that starts with `name` and that no column of docs starts with, whatever its case."""
     taken = [c.lower() for c in docs.columns]
@@ -72,16 +62,11 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def hash_key(seed: int, *cols: Column) -> Column:
-    """A hash-random key, uniform over the non-negative longs; equal rows get equal keys."""
-    return F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit(2**63 - 1))
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end, and each row's offsets into them (null: empty)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
     column = column.cast(pa.large_binary())
     off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]

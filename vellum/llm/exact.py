@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, free_name
+from .common import Scratch, ascii_lower, columns_of, free_name
 
 
 def digest(text: Column) -> Column:
@@ -80,6 +80,6 @@ def keep_first(docs: DataFrame, decided: DataFrame, text: str = "text", id: str
     per = Scratch(docs.sparkSession).save(per.filter(k).drop(k))
     hit = own.join(per.toDF(d + "_", s + "_", n), F.col(d).eqNullSafe(F.col(d + "_")) & (F.col(s) == F.col(s + "_")))
     if per.filter(F.col(n) > 1).isEmpty():
-        return hit.select(docs.columns)
+        return hit.select(columns_of(docs))
     again = hit.filter(F.col(n) > 1).dropDuplicates([d, s])
-    return hit.filter(F.col(n) == 1).select(docs.columns).unionByName(again.select(docs.columns))
+    return hit.filter(F.col(n) == 1).select(columns_of(docs)).unionByName(again.select(columns_of(docs)))
