@@ -1,6 +1,6 @@
 """Mixing sources to target weights, and sharding by stratified interleaving. Both rank rows by distributed prefix sums.
 
-A row's key is the MD5 of seed and id, so keys are uniform: equal ranges of keys hold about equal shares of any source,
+A row's key is the MD5 of seed, id and text, so keys are uniform: equal ranges of keys hold about equal shares of any source,
 however large. Rows are sorted inside (source, key range) only; the sums of the ranges before are added to what a row has
 before it in its own range. No task sees a whole source, and a rerun finds the same order.
 """
@@ -10,15 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, columns_of, free_name
 
 WEIGHTS = (5, 2, 1)
 #: Sources up to this many are broadcast (about 100 bytes each); beyond, the join shuffles and splits skewed keys.
 SMALL = 50_000
 
 
-def _key(seed: int, id: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id).cast("string"), F.lit("null"))).cast("binary"))
+#: Rows of a source and a range of keys, about, where there are more than the least number of ranges would hold.
+RANGE = 1 << 20
+
+
+def _key(seed: int, id: Column, text: Column) -> Column:
+    """Uniform over rows that differ in id or text, so that very many rows under one id, or none, spread as well."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(id.cast("string"), F.lit("null")), F.lit("|"), F.md5(text.cast("binary"))).cast("binary"))
+
+
+def _range(key: str, ranges: int) -> Column:
+    return (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * ranges / 2**32).cast("int")
 
 
 def _with_source(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
@@ -70,11 +79,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
     with one id and size are interchangeable; an empty table gives no rows. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    rows = scratch.save(docs.select(F.col(id).alias("x_id"), F.col(source).alias("x_source"), size.alias("x_n")))
+    body = F.coalesce(F.col(text), F.lit(""))
+    size = F.regexp_count(body, F.lit(WORD)).cast("long")
+    rows = scratch.save(docs.select(F.col(id).alias("x_id"), F.col(source).alias("x_source"), size.alias("x_n"), _key(seed, F.col(id), body).alias("x_key")))
+    ranges = max(ranges, rows.count() // RANGE)
     sources = scratch.save(targets(rows.groupBy("x_source").agg(F.sum("x_n").alias("x_size")), share, most))
-    rows = _with_source(rows, sources, sources.count()).withColumn("x_key", _key(seed, "x_id"))
-    rows = rows.withColumn("x_range", (F.conv(F.substring("x_key", 1, 8), 16, 10).cast("long") * ranges / 2**32).cast("int"))
+    rows = _with_source(rows, sources, sources.count()).withColumn("x_range", _range("x_key", ranges))
     rows = _before(rows, "x_rank", "x_range", "x_n", ["x_key", "x_n"])
     epochs = F.when(F.col("x_size") > 0, F.floor(F.floor("x_target") / F.col("x_size"))).otherwise(0)
     rest = F.floor("x_target") - epochs * F.col("x_size")
@@ -86,14 +96,16 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, id: str = "doc_id") -> DataFrame:
-    """docs with each row as often as the mix takes it; a row taken in part at a budget's end counts as a whole copy.
+    """docs with each row as often as the mix takes it, with all columns of docs, whatever their names.
 
-    Rows that hold no word have nothing to take and go. Of repeated ids every row follows the id's largest decision.
+    A row taken in part at a budget's end counts as a whole copy. Rows that hold no word have nothing to take and go. Of
+    repeated ids every row follows the id's largest decision.
     """
+    own, times, copy = (free_name(docs, x) for x in ("x_own", "x_times", "x_copy"))
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    take = mixed.filter("taken > 0").groupBy(F.col("doc_id").alias("x_id_")).agg(F.max(copies).alias("x_copies"))
-    hit = docs.join(take, docs[id].eqNullSafe(take["x_id_"]))
-    return hit.withColumn("x_copy", F.explode(F.sequence(F.lit(1), "x_copies"))).select(docs.columns)
+    take = mixed.filter("taken > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max(copies).alias(times))
+    hit = docs.join(take, docs[id].eqNullSafe(take[own]))
+    return hit.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(columns_of(docs))
 
 
 def interleave(docs: DataFrame, shards: int = 24, text: str = "text", source: str = "source", id: str = "doc_id", seed: int = 29, ranges: int = 1024) -> DataFrame:
@@ -109,12 +121,13 @@ def interleave(docs: DataFrame, shards: int = 24, text: str = "text", source: st
     body = F.coalesce(F.col(text), F.lit(""))
     rows = scratch.save(docs.select(
         F.col(id).alias("x_id"), F.col(source).alias("x_source"), (F.octet_length(body) + 8).cast("long").alias("x_bytes"), F.crc32(body.cast("binary")).alias("x_crc"),
+        _key(seed, F.col(id), body).alias("x_key"),
     ))
+    ranges = max(ranges, rows.count() // RANGE)
     by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("x_source").isNull(), "x_source")
     phase = (F.conv(F.substring(F.md5(F.coalesce(F.concat(F.lit("s"), "x_source"), F.lit("null")).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 2**32
     sources = scratch.save(rows.groupBy("x_source").agg(F.count("*").alias("x_of")).select("x_source", "x_of", phase.alias("x_phase"), F.row_number().over(by_name).alias("x_rank")))
-    rows = _with_source(rows, sources, sources.count()).withColumn("x_key", _key(seed, "x_id")).withColumn("x_one", F.lit(1))
-    rows = rows.withColumn("x_range", (F.conv(F.substring("x_key", 1, 8), 16, 10).cast("long") * ranges / 2**32).cast("int"))
+    rows = _with_source(rows, sources, sources.count()).withColumn("x_one", F.lit(1)).withColumn("x_range", _range("x_key", ranges))
     rows = _before(rows, "x_rank", "x_range", "x_one", ["x_key", "x_crc", "x_bytes"])
     rows = rows.withColumn("x_place", (F.col("x_before") + F.col("x_phase")) / F.col("x_of"))
     rows = scratch.save(rows.select("x_id", "x_bytes", "x_crc", "x_rank", "x_key", "x_one", "x_place", F.least(F.lit(ranges - 1), F.floor(F.col("x_place") * ranges)).cast("int").alias("x_range"), F.lit(0).alias("x_all")))
