@@ -21,6 +21,8 @@ RATE, PACKET, UNIT = 8000, 4000, 64
 SAMPLES, NOTES = 0x5341, 0x4E4F
 HEADER = struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
+#: A header packet of samples: this, then samples a second and bits of a sample.
+KIND, PCM = b"\x01samples", struct.Struct("<IB")
 #: Granule position of a page on which no packet ends.
 NONE_ENDS = -1
 _MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -77,7 +79,7 @@ def pages_of(serial: int, packets: list[tuple[bytes, int]]) -> list[bytes]:
 def write_ogg(payload: bytes, unpadded: int) -> bytes:
     """Stores a payload of 8-bit samples and its unpadded length as two interleaved logical streams."""
     cut = [(payload[i : i + PACKET], min(i + PACKET, len(payload))) for i in range(0, len(payload), PACKET)]
-    samples = pages_of(SAMPLES, [(b"\x01samples" + struct.pack("<IB", RATE, 8), 0), *cut])
+    samples = pages_of(SAMPLES, [(KIND + PCM.pack(RATE, 8), 0), *cut])
     notes = pages_of(NOTES, [(b"\x01notes", 0), (struct.pack("<Q", unpadded), len(payload))])
     return b"".join([samples[0], notes[0], *samples[1:], *notes[1:]])  # all first pages come before any other
 
@@ -124,21 +126,100 @@ def read_ogg(media: bytes) -> dict[int, dict]:
     return streams
 
 
+def header(stream: dict) -> tuple[int, int] | None:
+    """(samples a second, bits of a sample) from a stream's header packet; null for streams of other kinds."""
+    head = stream["packets"][0] if stream["packets"] else b""
+    if len(head) != len(KIND) + PCM.size or not head.startswith(KIND):
+        return None
+    rate, bits = PCM.unpack_from(head, len(KIND))
+    return (rate, bits) if rate and bits else None
+
+
 def timestamps(stream: dict) -> list[float]:
-    """Seconds at each packet's end: a page tells its last packet's granule, sizes fill in those before it (8-bit samples)."""
-    out, count = [], 0
+    """Seconds at each data packet's end, derived from granule positions.
+
+    A page's granule position, which counts samples, is the end of the last packet that ends on the page; the packets before
+    it end as much earlier as the samples after them take, so a stream may start anywhere and may have gaps. Raises
+    BadMedia where positions step back or a stream isn't one of samples.
+    """
+    form = header(stream)
+    if form is None:
+        raise BadMedia("no stream of samples")
+    rate, bits = form
+    out: list[float] = []
+    waiting: list[int] = []
+    before = None
     for packet, granule in zip(stream["packets"][1:], stream["granules"][1:], strict=True):
-        count += len(packet)
-        if granule is not None and granule != count:
-            raise BadMedia(f"granule position {granule} after {count} samples")
-        out.append(count / RATE)
+        waiting.append(8 * len(packet) // bits)
+        if granule is None:
+            continue
+        if granule < 0 or (before is not None and granule < before):
+            raise BadMedia(f"granule position {granule} after {before}")
+        ends, at = [], granule
+        for samples in reversed(waiting):
+            ends.append(at / rate)
+            at -= samples
+        out += reversed(ends)
+        waiting, before = [], granule
+    if waiting:
+        raise BadMedia("packets without a granule position")
     return out
 
 
-def _row(text: str | None) -> tuple:
+_STREAM = pa.struct([("serial", pa.int64()), ("pages", pa.int64()), ("packets", pa.int64()), ("bytes", pa.int64()), ("first_s", pa.float64()), ("last_s", pa.float64())])
+
+
+def _streams(media: bytes | None) -> tuple[str | None, list]:
+    """(error, streams) of stored bytes: an error is a value, so a bad row never ends the task."""
+    if media is None:
+        return "null", []
+    out = []
+    try:
+        for serial, s in sorted(read_ogg(media).items()):
+            times = timestamps(s) if header(s) else []
+            out.append((serial, s["pages"], len(s["packets"]), sum(map(len, s["packets"])), *((times[0], times[-1]) if times else (None, None))))
+    except BadMedia as exc:
+        return str(exc), []
+    return None, out
+
+
+def read_media(docs: DataFrame, media: str = "media", id: str = "doc_id") -> DataFrame:
+    """Per row of a table with a media column (binary Ogg): doc_id, error, streams.
+
+    error tells why the bytes are no valid Ogg (`null` where there are none) and is null for good rows; streams has serial,
+    pages, packets, bytes, and the seconds at which the first and the last data packet of a stream of samples end. Ids may
+    be null or repeated; other columns are ignored.
+    """
+
+    def run(batches):
+        for batch in blocks(batches, "x_media", 4 << 20):
+            rows = [_streams(m) for m in batch.column(1).to_pylist()]
+            errors, streams = zip(*rows, strict=True)
+            named = [[dict(zip([f.name for f in _STREAM], s, strict=True)) for s in own] for own in streams]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(errors, pa.string()), pa.array(named, pa.list_(_STREAM))], ["doc_id", "error", "streams"])
+
+    schema = "doc_id long, error string, streams array<struct<serial:long,pages:long,packets:long,bytes:long,first_s:double,last_s:double>>"
+    return docs.select(F.col(id).cast("long").alias("x_id"), F.col(media).cast("binary").alias("x_media")).mapInArrow(run, schema)
+
+
+def stored(text: str | None) -> tuple[bytes, bytes]:
+    """(a text's bytes, the Ogg that holds them padded to UNIT)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    payload = raw + bytes(-len(raw) % UNIT or (UNIT if not raw else 0))
-    media = write_ogg(payload, len(raw))
+    return raw, write_ogg(raw + bytes(-len(raw) % UNIT or (UNIT if not raw else 0)), len(raw))
+
+
+def write_media(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """Per row: doc_id, media (binary): the text as Ogg; a null text is empty."""
+
+    def run(batches):
+        for batch in blocks(batches, "x_text", 4 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([stored(t)[1] for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "media"])
+
+    return docs.select(F.col(id).cast("long").alias("x_id"), F.col(text).alias("x_text")).mapInArrow(run, "doc_id long, media binary")
+
+
+def _row(text: str | None) -> tuple:
+    media = stored(text)[1]
     streams = read_ogg(media)
     data, note = streams[SAMPLES], streams[NOTES]
     back = b"".join(data["packets"][1:])
