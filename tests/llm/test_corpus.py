@@ -124,7 +124,33 @@ def test_near_crowded(spark):
         for _ in range(rng.randint(0, 7)):
             words[rng.randrange(60)] = rng.choice(WORDS)
         rows.append((i, " ".join(words), None, None, 1, "", ""))
-    assert repr_sorted(components(rows)) == repr_sorted(near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect())
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    for side in (512, 6):  # a small side makes regions crowded, so they take deeper orders and then salted blocks
+        assert repr_sorted(components(rows)) == repr_sorted(near_dedup(docs, side=side).collect())
+
+
+def test_near_rows_of_one_id(spark):
+    """Very many rows under one id, or none, with texts of their own: as many rows come out, each with its own set."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(12)) for _ in range(700)]
+    rows = [(7 if i % 2 else None, texts[i % 700], None, None, 1, "", "") for i in range(2100)]
+    got = near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert len(got) == 2100 and sum(r.n_shingles for r in got) == sum(len(shingle_set(r[1])) for r in rows)
+    assert {r.component_id for r in got} == {7, None}
+
+
+def test_near_recall(spark):
+    """Pairs on the line: similarity 0.8 and a little more, each pair apart from all others. Every link is found."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        words = [f"{i}w{k}" for k in range(91)]
+        other = list(words)
+        other[-1 - i % 10 :] = [f"{i}x{k}" for k in range(1 + i % 10)]  # 90 - r of 90 + r shingles in common
+        rows += [(2 * i, " ".join(words), None, None, 1, "", ""), (2 * i + 1, " ".join(other), None, None, 1, "", "")]
+    rng.shuffle(rows)
+    got = near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in got)
 
 
 @pytest.mark.parametrize("budget", [0, 1 << 26])
@@ -145,6 +171,76 @@ def test_suffixes(budget):
             assert common == k
 
 
+def test_suffixes_larger_than_the_budget():
+    """Names of a long text exceed the budget, so levels of names are induced as well, with queues in files."""
+    rng = random.Random(9)
+    passage = [bytes(rng.choice(b"abcd ") for _ in range(500)) for _ in range(8)]
+    text = b"\xff".join(bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randint(0, 900))) + rng.choice(passage) for _ in range(300))
+    budget, depth = 1 << 12, 400
+    assert len(text) > 50 * budget
+    got = list(suffixes(text, depth, budget))
+    at = [p for p, _ in got][::-1]
+    want = sorted(range(len(text)), key=lambda p: text[p : p + depth])
+    assert sorted(at) == sorted(want) and [text[p : p + depth] for p in at] == [text[p : p + depth] for p in want]
+    for (a, common), (b, _) in zip(got[1::97], got[::97], strict=False):
+        k = 0
+        while k < depth and max(a, b) + k < len(text) and text[a + k] == text[b + k]:
+            k += 1
+        assert common == k
+
+
+def test_sorter_memory(monkeypatch):
+    """With small blocks and a small budget, what is held while a shard is sorted is a few bytes for each symbol of a block."""
+    import tracemalloc
+
+    from vellum.llm import suffixes
+    from vellum.llm.suffixes import Shard
+
+    monkeypatch.setattr(suffixes, "STEP", 1 << 12)
+    monkeypatch.setattr(suffixes, "STAGE", 1 << 12)
+    rng = random.Random(10)
+    shard = Shard(1 << 18)
+    while shard.size < 1 << 19:
+        shard.add(bytes(rng.choices(b"abcdefgh ", k=4096)) if rng.random() < 0.9 else b"the same " * 100)
+    tracemalloc.start()
+    flags = shard.repeated(400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert flags.any() and not flags.all() and peak < 6 << 20, peak
+    shard.close()
+
+
+def test_repeats_of_a_crowd(spark):
+    """One passage in very many texts, in other places and cut otherwise; long texts of several parts."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(260))
+    noise = ["".join(rng.choice("klmnopqrst ") for _ in range(rng.randint(5, 90))) for _ in range(150)]
+    texts = [a + passage[rng.choice([0, 0, 40]) :] + b for a, b in zip(noise, reversed(noise), strict=True)]
+    texts += ["u" * 900, "v" * 300 + passage + "v" * 300]
+    rows = [(i, t, None, None, 1, "", "") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    for crowded in (2, 40, 2048):
+        assert repr_sorted(repeats(rows, 200)) == repr_sorted(remove_repeats(docs, 200, crowded=crowded).drop("spans").collect())
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    """A text that is longer than a part gives the same pieces as in one part."""
+    import numpy as np
+
+    from vellum.llm import repeats
+
+    rng = random.Random(13)
+    raw = np.frombuffer(bytes(rng.choices(b"abcdef ", k=30_000)), np.uint8)
+    off = np.array([0, 5, 20_000, 20_000, 30_000])
+
+    def strings(found):
+        return {(d, s + k, anchor) for _, d, s, n, anchor in zip(*[c.tolist() for c in found], strict=True) for k in range(n)}
+
+    whole = strings(repeats.pieces(raw, off, 100))
+    monkeypatch.setattr(repeats, "PART", 1000)
+    assert strings(repeats.pieces(raw, off, 100)) == whole and len(whole) == 20_000 - 5 - 99 + 10_000 - 99
+
+
 def repeats(rows, length):
     texts = [(r[1] or "").encode() for r in rows]
     starts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
@@ -159,9 +255,9 @@ def repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "budget"), [(64, 0), (101, 1 << 26), (400, 1 << 26)])
-def test_repeats(docs, rows, length, budget):
-    got = remove_repeats(docs, length, budget=budget)
+@pytest.mark.parametrize(("length", "budget", "crowded"), [(64, 0, 1), (101, 1 << 26, 3), (400, 1 << 26, 2048)])
+def test_repeats(docs, rows, length, budget, crowded):
+    got = remove_repeats(docs, length, budget=budget, crowded=crowded)
     assert repr_sorted(repeats(rows, length)) == repr_sorted(got.drop("spans").collect())
     assert all(r.n_removed == sum(b - a for a, b in r.spans) for r in got.collect())
     assert remove_repeats(docs.limit(0), length).collect() == []
@@ -274,6 +370,139 @@ def test_language(spark):
     assert docs.select(held_out("doc_id")).distinct().count() == 2
 
 
+NAMES = (
+    "x_id x_id_ x_sha x_sha_ x_text x_text_ x_lang_pred x_score x_shares x_copies x_copy x_own x_times x_kept x_d x_s x_n x_k x_left x_right x_row x_size "
+    "x_top x_key x_node x_n_ x_source x_rank x_bytes x_crc size taken target kept keep_id component_id group_size text_sha256 lang_pred a.b"
+).split()
+
+
+def test_clashing_columns(spark):
+    """Columns with every name that the operators use inside keep their values, and only whole rows come out."""
+    from vellum.llm.language import identify, keep_identified, train
+
+    texts = ["some words here", "SOME words here", None, "", "other words there again", "other words there again", "12 34"]
+    rows = [(i, t, "en", "s", *[f"{n}{i}" for n in NAMES]) for i, t in enumerate(texts)]
+    columns = ["doc_id", "text", "lang", "source", *NAMES]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in columns))
+    langs, model = train(docs)
+    for out, ids in [
+        (keep_first(docs, exact_dedup(docs)), [1, 3, 5, 6]), (keep_one(docs, near_dedup(docs)), [0, 2, 3, 4, 6]),
+        (keep_identified(docs, langs, model), [0, 1, 4, 5]), (apply_mix(docs, mix(docs)), None),
+    ]:
+        assert out.columns == columns
+        got = out.collect()
+        assert all(tuple(r) == rows[r.doc_id] for r in got) and (ids is None or sorted(r.doc_id for r in got) == ids)
+    assert len(identify(docs, langs, model).columns) == len(columns) + 3
+    for op in (mix, interleave, remove_repeats, predict_language, exact_dedup, near_dedup):
+        assert sorted(r.doc_id for r in op(docs).collect()) == list(range(len(rows)))
+
+
+def test_very_many_rows_of_one_id(spark):
+    """Rows under one id, or none, with texts of their own are dealt over the ranges like any others."""
+    rows = [(1 if i % 2 else None, f"text {i} " * (1 + i % 3), None, "s", 1, "", "") for i in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    taken = mix(docs).collect()
+    assert len(taken) == 3000 and abs(sum(r.taken for r in taken) - 1.5 * sum(r.size for r in taken)) <= 1
+    shards = Counter(r.shard for r in interleave(docs).collect())
+    assert max(shards.values()) - min(shards.values()) <= 1
+    from vellum.llm.mixing import _key
+    from pyspark.sql import functions as F
+
+    assert docs.select(_key(1, F.col("doc_id"), F.col("text"))).distinct().count() == 3000
+
+
+def test_very_long_texts(spark, library):
+    """Texts of some megabytes, one a single word, go through every operator whole."""
+    rng = random.Random(16)
+    long_ = " ".join(f"{rng.choice(WORDS)}{k}" for k in range(250_000))
+    near = long_.replace(" ", " x", 2000)
+    texts = [long_, near, long_, "é" * 1_500_000, "kurz und gut", "ende"]
+    rows = [(i, t, "de" if i % 2 else "en", "s", 1, "", "") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert {r.doc_id: r.keep_id for r in exact_dedup(docs).collect()} == {0: 2, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(docs).collect()}
+    assert got == {i: (len(shingle_set(t)), 0 if i < 3 else i) for i, t in enumerate(texts)}
+    sizes = {i: len(t.split()) for i, t in enumerate(texts)}
+    mixed = mix(docs).collect()
+    assert {r.doc_id: r.size for r in mixed} == sizes and sum(r.taken for r in mixed) == int(1.5 * sum(sizes.values()))
+    assert sorted(r.size for r in interleave(docs, 2).collect()) == sorted(len(t.encode()) + 8 for t in texts)
+    assert {r.doc_id for r in predict_language(docs).collect()} == set(range(6))
+    removed = {r.doc_id: (r.n_removed, r.n_bytes) for r in remove_repeats(docs).collect()}
+    assert removed[0] == removed[2] and removed[0][0] == removed[0][1] and removed[3][0] == 3_000_000 and removed[1][0] > 0.9 * removed[1][1] and removed[4][0] == 0
+    tokens = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in tokens} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    assert {r.n_tokens for r in tokens if r.doc_id in (0, 2)} == {len(library.encode_ordinary(long_))}
+
+
+def test_mixture_in_slices(monkeypatch):
+    """Scores summed in slices, which may cut words, are those of the whole; words longer than a slice too."""
+    import numpy as np
+    import pyarrow as pa
+
+    from vellum.llm import language
+
+    rng = random.Random(14)
+    texts = pa.array([prose(rng.randint(0, 60)) for _ in range(40)] + ["x" * 3000, "", None, " a ", "é" * 50 + " " * 70 + "b"])
+    model = np.log(np.random.default_rng(1).dirichlet(np.ones(1 << 16), 3).T).astype(np.float32)
+    whole = language.mixtures(texts, model)
+    for floats in (3, 30, 1000):
+        monkeypatch.setattr(language, "SLICE", floats)
+        assert np.allclose(language.mixtures(texts, model), whole, atol=1e-4)
+
+
+def test_mixture_is_that_of_plain_em():
+    """Shares and the chosen set against a plain EM over words, with every language set tried in order of share."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from vellum.llm.language import mixtures
+
+    model = np.log(np.random.default_rng(2).dirichlet(np.full(1 << 16, 0.05), 3).T + 1e-12).astype(np.float32)
+
+    def units(text):
+        out, raw = [], [b | 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode()]
+        a = b = 32
+        word = None
+        for c in raw:
+            if not (c == 32 and b == 32):
+                if b == 32 or word is None:
+                    out.append(np.zeros(3))
+                    word = out[-1]
+                out[-1] = out[-1] + model[((((a << 16) | (b << 8) | c) * 0x9E3779B1) & 0xFFFFFFFF) >> 16]
+            a, b = b, c
+        return np.array(out)
+
+    def em(u, pi, rounds=10):
+        a = np.exp(np.maximum(u - u.max(1, keepdims=True), -60))
+        for _ in range(rounds):
+            r = a * pi
+            pi = (r / r.sum(1, keepdims=True)).mean(0)
+        return pi, np.log(np.maximum((a * pi).sum(1), 1e-300)).sum()
+
+    rng = random.Random(15)
+    for _ in range(40):
+        text = "a" + prose(rng.randint(1, 80))
+        u = units(text)
+        top = np.maximum(u - u.max(1, keepdims=True), -60)
+        cost = 4.0 + 0.5 * math.log(len(u))
+        pi, likely = em(u, np.full(3, 1 / 3))
+        best = top.sum(0).argmax()
+        want, value = np.eye(3)[best], top.sum(0)[best]
+        if likely - cost > value:
+            ranked = np.argsort(-pi, kind="stable")
+            for k in (2, 3):
+                some = np.zeros(3)
+                some[ranked[:k]] = 1 / k
+                pi_k, likely_k = em(u, some)
+                if likely_k - (k - 1) * cost > value:
+                    want, value = pi_k, likely_k - (k - 1) * cost
+                elif k > 2:
+                    break
+        assert np.allclose(mixtures(pa.array([text]), model)[0], want, atol=1e-3), text
+
+
 def test_pipeline(spark, docs, rows, library, tmp_path):
     import corpus_pipeline
 
