@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vellum.llm.bpe import encode_decode
 from vellum.llm.common import Scratch, documents
 from vellum.llm.exact import exact_dedup, keep_first
-from vellum.llm.language import UNDETERMINED, held_out, identify, train
+from vellum.llm.language import held_out, keep_identified, train
 from vellum.llm.mixing import apply_mix, mix
 from vellum.llm.near import keep_one, near_dedup
 
@@ -17,7 +16,7 @@ from vellum.llm.near import keep_one, near_dedup
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null or letterless texts) go."""
     langs, model = train(docs.filter(~held_out("doc_id")))
-    return identify(docs, langs, model).filter(F.col("x_lang_pred") != UNDETERMINED).select(docs.columns)
+    return keep_identified(docs, langs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
