@@ -19,22 +19,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Tables of this process that nobody has deleted yet.
-_KEPT: list[str] = []
+KEPT: list[str] = []
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table of its own: computed once, with a plan that starts at its files. clear() deletes such tables."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _KEPT.append(path)
+    KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> int:
     """Deletes the tables that written() made in this process, once all results have been read. Returns how many."""
     jvm = spark.sparkContext._jvm
-    n = len(_KEPT)
-    while _KEPT:
-        path = jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+    n = len(KEPT)
+    while KEPT:
+        path = jvm.org.apache.hadoop.fs.Path(KEPT.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return n
