@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared_dir
+from ..sources.scratch import KEPT, shared_dir
 
 #: ASCII white space as the contracts define it; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,7 +19,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; a lost executor rereads them instead of recomputing."""
+    """Tables written to the shared folder to cut lineage; a lost executor rereads them instead of recomputing.
+
+    Those that a result reads stay until sources.scratch.clear deletes them.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
@@ -27,14 +30,18 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark).rstrip('/')}/vellum-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        KEPT.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = (path, out)  # while it is held, no other table gets its id
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing will read again."""
         for df in tables:
-            if path := self.paths.pop(id(df), None):
+            if held := self.paths.pop(id(df), None):
+                path = held[0]
+                if path in KEPT:
+                    KEPT.remove(path)
                 jvm = self.spark.sparkContext._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
