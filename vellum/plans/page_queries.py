@@ -270,8 +270,8 @@ def q69_blind_pages(spark, sf):
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size + 0.1 ELSE p_size::DOUBLE END AS top, CASE WHEN p_size % 3 = 0 THEN p_size + 0.1 WHEN p_size % 3 = 1 THEN p_size + 0.6 ELSE p_size + 50.0 END AS bottom,
-  CASE WHEN p_size % 3 = 2 THEN 5.2 ELSE 5.0 END AS x0, CASE WHEN p_size % 3 = 2 THEN 5.2 ELSE 90.0 END AS x1 FROM part""")
+SELECT p_partkey, round(CASE WHEN p_size % 3 = 0 THEN p_size + 0.1 ELSE p_size END::DOUBLE, 6) AS top, round(CASE WHEN p_size % 3 = 0 THEN p_size + 0.1 WHEN p_size % 3 = 1 THEN p_size + 0.6 ELSE p_size + 50 END::DOUBLE, 6) AS bottom,
+  CASE WHEN p_size % 3 = 2 THEN 5.2 ELSE 5 END::DOUBLE AS x0, CASE WHEN p_size % 3 = 2 THEN 5.2 ELSE 90 END::DOUBLE AS x1 FROM part""")
 def q70_straight_edges(spark, sf):
     k = F.col("p_size").cast("double")
     edges = table(spark, sf, "part").select(
@@ -328,7 +328,7 @@ def q73_turned_lines(spark, sf):
     return geometry.turned_lines(words, ["l_orderkey"]).select("l_orderkey", F.col("line_no").cast("int").alias("line_no"), "text")
 
 
-@query("SELECT p_size, CASE WHEN p_size % 2 = 0 THEN 0.75 ELSE 3.0 END AS tolerance FROM (SELECT DISTINCT p_size FROM part)")
+@query("SELECT p_size, CASE WHEN p_size % 2 = 0 THEN 0.75 ELSE 3 END::DOUBLE AS tolerance FROM (SELECT DISTINCT p_size FROM part)")
 def q74_line_tolerance(spark, sf):
     """Two lines drawn 1.5 points apart, one over the other: half of that tells them apart; single lines keep the usual value."""
     pages = table(spark, sf, "part").select("p_size").distinct()
@@ -340,7 +340,7 @@ def q74_line_tolerance(spark, sf):
 
 
 @query("""
-SELECT s_nationkey, list('1- ' || s_name ORDER BY s_suppkey) AS lines FROM supplier WHERE s_nationkey % 3 = 0 GROUP BY ALL HAVING count(*) > 0""")
+SELECT s_nationkey, string_agg('1- ' || s_name, chr(10) ORDER BY s_suppkey) AS lines FROM supplier WHERE s_nationkey % 3 = 0 GROUP BY ALL HAVING count(*) > 0""")
 def q75_prose_tables(spark, sf):
     """Tables of one column: a title and numbered items (text), a second column (a table), or items without numbers (a table)."""
     s = table(spark, sf, "supplier")
@@ -350,7 +350,7 @@ def q75_prose_tables(spark, sf):
     rows = s.select("s_nationkey", rank.alias("row_no"), F.array(item, more).alias("cells"))
     title = s.select("s_nationkey").distinct().select("s_nationkey", F.lit(0).alias("row_no"), F.array(F.lit("Deveres"), F.lit("")).alias("cells"))
     found = tables.prose_tables(rows.unionByName(title), ["s_nationkey"], F.col("first") == "Deveres")
-    return found.select("s_nationkey", F.slice("lines", 2, 1_000_000).alias("lines"))
+    return found.select("s_nationkey", F.array_join(F.slice("lines", 2, 1_000_000), "\n").alias("lines"))
 
 
 @query("""
@@ -389,11 +389,11 @@ def q78_same_words(spark, sf):
 
 
 @query("""
-SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 2 = 0 THEN ['TABLE_AUDIT', 'TABLES_MISSING'] ELSE [] END AS rules FROM customer WHERE c_custkey % 5 <> 0 UNION ALL
-SELECT c_custkey, [] FROM customer WHERE c_custkey % 5 = 0""")
+SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 2 = 0 THEN 'TABLE_AUDIT TABLES_MISSING' ELSE '' END AS rules FROM customer WHERE c_custkey % 5 <> 0 UNION ALL
+SELECT c_custkey, '' FROM customer WHERE c_custkey % 5 = 0""")
 def q79_table_divergence(spark, sf):
     k = F.col("c_custkey")
-    return table(spark, sf, "customer").select("c_custkey", F.coalesce(tables.divergence(F.when(k % 5 != 0, k % 3), k % 2), F.array().cast("array<string>")).alias("rules"))
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(tables.divergence(F.when(k % 5 != 0, k % 3), k % 2), " ").alias("rules"))
 
 
 @query("""
@@ -447,11 +447,11 @@ def _chaptered(spark, sf):
 
 @query("""
 SELECT n_nationkey::BIGINT AS doc_id, (n_nationkey % 2 = 0)::BIGINT AS capitulo, count(c_custkey) AS clausula, 0::BIGINT AS artigo,
-  coalesce(list('Cláusula ' || (c_custkey + 1) || '.ª - Objeto' ORDER BY c_custkey) FILTER (c_custkey IS NOT NULL), []) AS labels
+  coalesce(string_agg('Cláusula ' || (c_custkey + 1) || '.ª - Objeto', ' ' ORDER BY c_custkey), '') AS labels
 FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND n_nationkey % 2 = 0 GROUP BY ALL HAVING n_nationkey % 2 = 0""")
 def q83_structure_summary(spark, sf):
     out = report.structure_summary(structure.node_table(_chaptered(spark, sf)))
-    return out.filter("doc_id % 2 = 0").select("doc_id", "capitulo", "clausula", "artigo", "labels")
+    return out.filter("doc_id % 2 = 0").select("doc_id", "capitulo", "clausula", "artigo", F.array_join("labels", " ").alias("labels"))
 
 
 @query("""
@@ -476,24 +476,24 @@ def q85_sanity_order(spark, sf):
 
 
 @query("""
-SELECT s_suppkey, ['Contrato coletivo', s_name] || CASE WHEN s_suppkey % 2 = 0 THEN ['- Retificação'] ELSE list_transform(range(1, 7), lambda i: 'linha ' || i) END AS title, s_suppkey % 4 = 0 AS rect FROM supplier""")
+SELECT s_suppkey, 'Contrato coletivo/' || s_name || CASE WHEN s_suppkey % 2 = 0 THEN '/- Retificação' ELSE '/linha 1/linha 2/linha 3/linha 4/linha 5/linha 6' END AS title, s_suppkey % 4 = 0 AS rect FROM supplier""")
 def q86_title_lines(spark, sf):
     """The lines before the first heading, eight at most; a title, a file type or neither says that it is a rectification."""
     k = F.col("s_suppkey")
     long_ = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat(F.lit("linha "), i.cast("string"))), "\n")
     text = F.concat(F.lit("\nContrato coletivo\n"), F.col("s_name"), F.lit("\n\n"), F.when(k % 2 == 0, "- Retificação\nCláusula 1.ª\nFim").otherwise(long_))
-    return table(spark, sf, "supplier").select("s_suppkey", sanity.title_lines(text).alias("title"), sanity.is_rectification(F.when(k % 4 == 0, "CCT-RECT"), F.lit(None).cast("string"), text).alias("rect"))
+    return table(spark, sf, "supplier").select("s_suppkey", F.array_join(sanity.title_lines(text), "/").alias("title"), sanity.is_rectification(F.when(k % 4 == 0, "CCT-RECT"), F.lit(None).cast("string"), text).alias("rect"))
 
 
 @query("""
-SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN [] WHEN 1 THEN ['chave'] WHEN 2 THEN ['ano'] WHEN 3 THEN ['descarga.estado'] WHEN 4 THEN ['nomeacao.ordinal'] ELSE ['num_bte', 'nomeacao.estado'] END AS errors FROM orders""")
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'chave' WHEN 2 THEN 'ano' WHEN 3 THEN 'descarga.estado' WHEN 4 THEN 'nomeacao.ordinal' ELSE 'num_bte nomeacao.estado' END AS errors FROM orders""")
 def q87_registry_errors(spark, sf):
     k = F.col("o_orderkey").cast("string")
     entry = at(
         "o_orderkey", F.concat(F.lit('{"chave":"a/'), k, F.lit('","ano":2025,"descarga":{"estado":"descarregado"},"x":1}')), F.lit('{"chave":"","ano":2025}'), F.lit('{"chave":"c","ano":"dois"}'),
         F.lit('{"chave":"c","descarga":{"estado":"talvez"}}'), F.lit('{"chave":"c","nomeacao":{"ordinal":0}}'), F.lit('{"chave":"c","num_bte":1.5,"nomeacao":{"estado":"x"}}'),
     )
-    return table(spark, sf, "orders").select("o_orderkey", entry.alias("entry")).select("o_orderkey", collect.registry_errors().alias("errors"))
+    return table(spark, sf, "orders").select("o_orderkey", entry.alias("entry")).select("o_orderkey", F.array_join(collect.registry_errors(), " ").alias("errors"))
 
 
 @query("""
