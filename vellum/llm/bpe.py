@@ -22,9 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, utf8
 
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 #: Hash buckets of words, at most.
 BUCKETS = 4096
 #: White space, and the letters and numbers below U+02C2 (fixed values of Unicode).
@@ -126,12 +126,10 @@ def _read(pattern: str, buckets: int, size: int):
 
     def run(batches):
         split = splitter(pattern)
-        base = TaskContext.get().partitionId() << 32
-        for k, batch in enumerate(blocks(batches, "x_text", size)):
-            place, found = _Places(), []
-            for text in batch.column(1).to_pylist():
-                words = split(text or "")
-                found.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
+        base, block = TaskContext.get().partitionId() << 32, 0
+        place, found, ids, held = _Places(), [], [], 0
+
+        def packed() -> pa.RecordBatch:
             codes = np.concatenate(found)
             # Numbers by frequency pack best. A bucket holds its words in this order, so their buckets tell where the ids go.
             often = np.argsort(-np.bincount(codes, minlength=len(place)), kind="stable")
@@ -141,14 +139,26 @@ def _read(pattern: str, buckets: int, size: int):
             words = [words[i] for i in often.tolist()]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
             order = np.argsort(bucket, kind="stable")
-            ids = batch.column(0)
-            body = [ids.fill_null(0).to_numpy().tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), _planes(np.array([len(f) for f in found])), _planes(bucket), *_short(number[codes])]
-            out = [(base + k, zlib.crc32((base + k).to_bytes(8, "little")) & 0x7FFFFFFF, None, _pack(body))]
+            own = pa.concat_arrays(ids)
+            body = [own.fill_null(0).to_numpy().tobytes(), np.asarray(own.is_null()).astype(np.uint8).tobytes(), _planes(np.array([len(f) for f in found])), _planes(bucket), *_short(number[codes])]
+            out = [(base + block, zlib.crc32((base + block).to_bytes(8, "little")) & 0x7FFFFFFF, None, _pack(body))]
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            for own in np.split(order, cuts) if len(order) else ():
-                b = int(bucket[own[0]])
-                out.append((base + k, b, b, _pack([words[i] for i in own.tolist()])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["x_block", "x_to", "x_bucket", "x_data"])
+            for mine in np.split(order, cuts) if len(order) else ():
+                b = int(bucket[mine[0]])
+                out.append((base + block, b, b, _pack([words[i] for i in mine.tolist()])))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["x_block", "x_to", "x_bucket", "x_data"])
+
+        for batch in blocks(batches, "x_text", max(1, size // 8)):
+            ids.append(batch.column(0))
+            for text in batch.column(1).to_pylist():
+                words = split(text or "")
+                found.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
+            held += int(utf8(batch.column(1))[1][-1])
+            if held >= size:
+                yield packed()
+                place, found, ids, held, block = _Places(), [], [], 0, block + 1
+        if ids:
+            yield packed()
 
     return run
 
