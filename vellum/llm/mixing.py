@@ -1,6 +1,6 @@
 """Mixing sources to target weights, and sharding by stratified interleaving. Both rank rows by distributed prefix sums.
 
-A row's key is the MD5 of seed, id and text, so keys are uniform: equal ranges of keys hold about equal shares of any source,
+A row's key is the MD5 of seed, id, the text's size and its ends, so keys are uniform: equal ranges of keys hold about equal shares of any source,
 however large. Rows are sorted inside (source, key range) only; the sums of the ranges before are added to what a row has
 before it in its own range. No task sees a whole source, and a rerun finds the same order.
 """
@@ -22,8 +22,9 @@ RANGE = 1 << 20
 
 
 def _key(seed: int, id: Column, text: Column) -> Column:
-    """Uniform over rows that differ in id or text, so that very many rows under one id, or none, spread as well."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(id.cast("string"), F.lit("null")), F.lit("|"), F.md5(text.cast("binary"))).cast("binary"))
+    """Uniform over rows that differ in id, size or the text's ends, so that very many rows under one id, or none, spread as well."""
+    parts = [F.coalesce(id.cast("string"), F.lit("null")), F.octet_length(text).cast("string"), F.substring(text, 1, 32), F.substring(text, -32, 32)]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
 
 
 def _range(key: str, ranges: int) -> Column:

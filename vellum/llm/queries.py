@@ -36,7 +36,7 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM t WINDOW g AS (PARTITION BY text_sha256)""",
     "op4_mix_sources": r"""
 WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-             md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))) AS k FROM documents),
+             md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, 'null'), strlen(coalesce(text, '')), left(coalesce(text, ''), 32), right(coalesce(text, ''), 32))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM t GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap,
         row_number() OVER (ORDER BY source NULLS LAST) AS r FROM s),
