@@ -414,9 +414,9 @@ def test_very_many_rows_of_one_id(spark):
 def test_very_long_texts(spark, library):
     """Texts of some megabytes, one a single word, go through every operator whole."""
     rng = random.Random(16)
-    long_ = " ".join(f"{rng.choice(WORDS)}{k}" for k in range(250_000))
+    long_ = " ".join(f"{rng.choice(WORDS)}{k}" for k in range(120_000))
     near = long_.replace(" ", " x", 2000)
-    texts = [long_, near, long_, "é" * 1_500_000, "kurz und gut", "ende"]
+    texts = [long_, near, long_, "é" * 800_000, "kurz und gut", "ende"]
     rows = [(i, t, "de" if i % 2 else "en", "s", 1, "", "") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     assert {r.doc_id: r.keep_id for r in exact_dedup(docs).collect()} == {0: 2, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
@@ -428,7 +428,7 @@ def test_very_long_texts(spark, library):
     assert sorted(r.size for r in interleave(docs, 2).collect()) == sorted(len(t.encode()) + 8 for t in texts)
     assert {r.doc_id for r in predict_language(docs).collect()} == set(range(6))
     removed = {r.doc_id: (r.n_removed, r.n_bytes) for r in remove_repeats(docs).collect()}
-    assert removed[0] == removed[2] and removed[0][0] == removed[0][1] and removed[3][0] == 3_000_000 and removed[1][0] > 0.9 * removed[1][1] and removed[4][0] == 0
+    assert removed[0] == removed[2] and removed[0][0] == removed[0][1] and removed[3][0] == 1_600_000 and removed[1][0] > 0.9 * removed[1][1] and removed[4][0] == 0
     tokens = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     assert {r.doc_id: r.decoded_sha256 for r in tokens} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
     assert {r.n_tokens for r in tokens if r.doc_id in (0, 2)} == {len(library.encode_ordinary(long_))}
