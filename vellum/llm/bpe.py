@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, utf8
 
-BLOCK = 32 << 20
+BLOCK = 24 << 20
 #: Hash buckets of words, at most.
 BUCKETS = 4096
 #: White space, and the letters and numbers below U+02C2 (fixed values of Unicode).
