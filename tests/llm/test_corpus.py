@@ -344,6 +344,35 @@ def test_bpe(docs, rows, library):
     assert encode_decode(docs.limit(0), path, public_tokenizers.PATTERN).collect() == []
 
 
+def test_bpe_memory(monkeypatch, library):
+    """A block is put together again in steps: what that holds is a small multiple of its bytes, documents may span steps."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from vellum.llm import bpe
+
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 1)))
+    rng = random.Random(18)
+    texts = ["", *[" ".join(rng.choices(WORDS, k=k)) for k in (1, 150_000, 5, 70_000, 0, 100_000)], None, ""]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(8), None]), pa.array(texts)], ["x_id", "x_text"])
+    (rows,) = bpe._read(public_tokenizers.PATTERN, 4, 1 << 30)([batch])
+    block = pa.Table.from_batches(bpe._answers(path)([rows.sort_by("x_bucket")]))
+    put_together = bpe._reassemble(path)
+    tracemalloc.start()
+    got = put_together(block).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = []
+    for i, t in zip([*range(8), None], texts, strict=True):
+        ids = library.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert [tuple(r.values()) for r in got] == want
+    assert peak < 7 * sum(len((t or "").encode()) for t in texts), peak
+
+
 def test_language(spark):
     rng = random.Random(12)
     stems = {"aa": ["ka", "ti", "ro", "mun"], "bb": ["şe", "lo", "vir", "gne"], "cc": ["xu", "pha", "dry", "qi"]}

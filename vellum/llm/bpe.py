@@ -27,6 +27,8 @@ from .common import blocks, utf8
 BLOCK = 24 << 20
 #: Hash buckets of words, at most.
 BUCKETS = 4096
+#: Words of a block whose ids are joined back and decoded at once.
+STEP = 1 << 16
 #: White space, and the letters and numbers below U+02C2 (fixed values of Unicode).
 SPACE = "\t-\r \x85\xa0"
 SPACE_ALL = SPACE + "  -     　"
@@ -103,7 +105,7 @@ def _short(numbers: np.ndarray) -> list[bytes]:
 
 
 def _from_short(lead: bytes, more: bytes, large: bytes) -> np.ndarray:
-    out = np.frombuffer(lead, np.uint8).astype(np.int64)
+    out = np.frombuffer(lead, np.uint8).astype(np.uint32)
     two, rest = (out >= ONE) & (out < 255), out == 255
     out[two] = ONE + (out[two] - ONE) * 256 + np.frombuffer(more, np.uint8)
     out[rest] = _from_planes(large)
@@ -130,17 +132,25 @@ def _read(pattern: str, buckets: int, size: int):
         place, found, ids, held = _Places(), [], [], 0
 
         def packed() -> pa.RecordBatch:
+            counts = _planes(np.array([len(f) for f in found]))
             codes = np.concatenate(found)
+            found.clear()
             # Numbers by frequency pack best. A bucket holds its words in this order, so their buckets tell where the ids go.
-            often = np.argsort(-np.bincount(codes, minlength=len(place)), kind="stable")
-            number = np.empty(len(place), np.int64)
+            times = np.zeros(len(place), np.int64)
+            step = max(STEP, len(place))
+            for first in range(0, len(codes), step):  # counting copies what it counts as wider numbers
+                times += np.bincount(codes[first : first + step], minlength=len(place))
+            often = np.argsort(-times, kind="stable")
+            number = np.empty(len(place), np.uint32)
             number[often] = np.arange(len(place))
             words = list(map(_raw, place))
+            place.clear()
             words = [words[i] for i in often.tolist()]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
             order = np.argsort(bucket, kind="stable")
             own = pa.concat_arrays(ids)
-            body = [own.fill_null(0).to_numpy().tobytes(), np.asarray(own.is_null()).astype(np.uint8).tobytes(), _planes(np.array([len(f) for f in found])), _planes(bucket), *_short(number[codes])]
+            codes = number[codes]
+            body = [own.fill_null(0).to_numpy().tobytes(), np.asarray(own.is_null()).astype(np.uint8).tobytes(), counts, _planes(bucket), *_short(codes)]
             out = [(base + block, zlib.crc32((base + block).to_bytes(8, "little")) & 0x7FFFFFFF, None, _pack(body))]
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for mine in np.split(order, cuts) if len(order) else ():
@@ -203,20 +213,32 @@ def _reassemble(path: str):
         raw_ids, nulls, counts, buckets, *short = _unpack(rows[0][1])
         place = np.empty(len(size), np.int64)
         place[np.argsort(_from_planes(buckets), kind="stable")] = np.arange(len(size))
-        words = place[_from_short(*short)]
-        own = size[words]
-        ends = np.cumsum(own)
-        ids = flat[np.repeat(start[words] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
-        decoded = table.take(pa.array(ids))
-        # A take of a whole block is one array, as offsets are 64 bits wide.
-        off = np.frombuffer(decoded.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
-        data = memoryview(decoded.buffers()[2]) if len(ids) else memoryview(b"")
-        stops = np.concatenate([[0], np.cumsum(_from_planes(counts))]).astype(np.int64)
-        marks = np.concatenate([[0], ends]).astype(np.int64)[stops]
-        raw = ids.astype("<u4").tobytes()
-        out = []
-        for i, null, a, b in zip(np.frombuffer(raw_ids, np.int64).tolist(), nulls, marks[:-1].tolist(), marks[1:].tolist(), strict=True):
-            out.append((None if null else i, b - a, hashlib.sha256(raw[4 * a : 4 * b]).hexdigest(), hashlib.sha256(data[off[a] : off[b]]).hexdigest()))
+        words = _from_short(*short)
+        del rows, answers, buckets, short
+        doc_ids = [None if null else i for i, null in zip(np.frombuffer(raw_ids, np.int64).tolist(), nulls, strict=True)]
+        stops = [0, *np.cumsum(_from_planes(counts), dtype=np.int64).tolist()]
+        out, n, of_ids, of_bytes = [], 0, hashlib.sha256(), hashlib.sha256()
+        for first in range(0, max(1, len(words)), STEP):
+            some = place[words[first : first + STEP]]
+            own = size[some]
+            marks = np.concatenate([[0], np.cumsum(own)]).astype(np.int64)
+            ids = flat[np.repeat(start[some] - marks[:-1], own) + np.arange(marks[-1])]
+            decoded = table.take(pa.array(ids))
+            # A take of these ids is one array, as offsets are 64 bits wide.
+            off = np.frombuffer(decoded.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+            data = memoryview(decoded.buffers()[2]) if len(ids) else memoryview(b"")
+            raw = memoryview(ids.astype("<u4").tobytes())
+            last = first + len(some)
+            while len(out) < len(doc_ids):  # a document may begin in one step and end in another
+                begin, end = stops[len(out)], stops[len(out) + 1]
+                a, b = int(marks[max(begin, first) - first]), int(marks[min(end, last) - first])
+                n += b - a
+                of_ids.update(raw[4 * a : 4 * b])
+                of_bytes.update(data[off[a] : off[b]])
+                if end > last:
+                    break
+                out.append((doc_ids[len(out)], n, of_ids.hexdigest(), of_bytes.hexdigest()))
+                n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
         return pa.table(
             [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
