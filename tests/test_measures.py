@@ -250,3 +250,28 @@ def test_structure_summary(spark):
     nodes = spark.createDataFrame([(1, "clausula", "b", 5), (1, "clausula", "a", 1), (1, "anexo", "x", 9)], "doc_id int, tipo string, rotulo string, char_start int")
     r = report.structure_summary(nodes).first()
     assert (r.clausula, r.anexo, r.labels) == (2, 1, ["a", "b"])
+
+
+def test_equal_and_odd_tables_in_tables(spark):
+    """Against all pairs: many equal boxes, no area, null, not a number, infinite, far out; and the plan holds no join of a page with itself."""
+    rng, inf, nan = random.Random(9), float("inf"), float("nan")
+    some = [(0.0, 0.0, 90.0, 90.0), (5.0, 5.0, 50.0, 50.0), (5.0, 5.0, 5.0, 50.0), (9.0, 9.0, 3.0, 50.0), (-1e300, 0.0, 1e300, 9.0), (0.0, 0.0, inf, 9.0), (-0.0, 0.0, 90.0, 90.0), (None, 1.0, 2.0, 3.0)]
+    rows = [(p, i, *(rng.choice(some) if rng.random() < 0.3 else (x := rng.randint(0, 60) / 2, y := rng.randint(0, 60) / 2, x + rng.choice([1, 9, 10, 30]), y + rng.choice([1, 9, 10, 30])))) for p in (1, 2, None) for i in range(150)]
+    rows += [(3, 1, 0.0, nan, 5.0, 9.0), (3, 2, 1.0, 1.0, 2.0, 2.0)]
+    t = spark.createDataFrame(rows, "p int, table_id int, x0 double, top double, x1 double, bottom double")
+    got = geometry.contained_tables(t, ["p"])
+    o = t.select("p", F.col("table_id").alias("inner_id"), *[F.col(c).alias(f"i_{c}") for c in ("x0", "top", "x1", "bottom")])
+    area = lambda a, b, c, d: f"greatest(0d, {c} - {a}) * greatest(0d, {d} - {b})"
+    common = area("greatest(x0, i_x0)", "greatest(top, i_top)", "least(x1, i_x1)", "least(bottom, i_bottom)")
+    mine, theirs = area("x0", "top", "x1", "bottom"), area("i_x0", "i_top", "i_x1", "i_bottom")
+    want = t.join(o, "p").filter(f"table_id <> inner_id and {mine} > {theirs} and {common} >= 0.9d * {theirs}").select("p", "table_id", "inner_id")
+    pairs = sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, got.collect())) == pairs and len(pairs) > 1000
+
+
+def test_equal_boxes_are_compared_once(spark):
+    """20,000 copies of two boxes a page hold 4 * 10^8 pairs of which none is made, as none holds another."""
+    t = spark.range(20_000).selectExpr("1 as p", "id as table_id", "0d as x0", "0d as top", "cast(id % 2 + 1 as double) as x1", "cast(2 - id % 2 as double) as bottom")
+    plan = geometry.contained_tables(t, ["p"])
+    assert plan.count() == 0
+    assert "x0" not in plan._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..sources.scratch import written
 
 # Limits of the page rules, in points or shares.
 BLOCKS_FOR_COLUMNS, GUTTER_SHARE, BLOCKS_ACROSS, SIDE_SHARE = 8, 0.02, 0.05, 0.25
@@ -14,6 +15,7 @@ WORDS_FOR_COLUMNS, GUTTER_POINTS, WORDS_ACROSS = 40, 5.0, 0.02
 ORIGIN_TOLERANCE, BASELINE, BAND, LINE_TOLERANCE = 0.1, 1.0, 4.0, 3.0
 INSIDE_SHARE, SECTION_JUMP, LEAST_GUTTER, SPACE_LEAST, SPACE_SLACK = 0.9, 3.0, 8.0, 0.8, 1.2
 NEARLY_STRAIGHT = 0.5
+PAGE_CELLS, MOST_COORDINATE = 16, 1e15
 LEAST_ROTATED, ROTATED_WITHOUT_COLUMNS, ROTATED_TABLE = 3, 10, 0.8
 
 
@@ -198,14 +200,37 @@ def outside_tables(chars: DataFrame, tables: DataFrame, keys: list[str]) -> Data
 
 
 def contained_tables(tables: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, table_id, inner_id: tables of which at least 90 % lies in a larger one of the page."""
-    other = tables.select(*keys, F.col("table_id").alias("inner_id"), *[F.col(c).alias(f"i_{c}") for c in ("x0", "top", "x1", "bottom")])
+    """keys, table_id, inner_id: tables of which at least 90 % lies in a larger one of the page.
+
+    Equal boxes of a page are compared once. The middle of a box lies in all that hold 90 % of it, so pairs meet in a cell of
+    the page; boxes without an area are in every larger one, they and those without finite sides meet all of the page.
+    """
+    sides = ["x0", "top", "x1", "bottom"]
     area = lambda a, b, c, d: F.greatest(F.lit(0.0), c - a) * F.greatest(F.lit(0.0), d - b)
-    mine = [F.col(c) for c in ("x0", "top", "x1", "bottom")]
-    theirs = [F.col(f"i_{c}") for c in ("x0", "top", "x1", "bottom")]
+    mine, theirs = [F.col(c) for c in sides], [F.col(f"i_{c}") for c in sides]
+    plain = area(*mine) > 0
+    for c in mine:
+        plain = plain & (F.abs(c) <= MOST_COORDINATE)
+    boxes = tables.select(*keys, *sides).distinct().withColumn("plain", F.coalesce(plain, F.lit(False)))
+    boxes = written(boxes.withColumn("box", F.monotonically_increasing_id()))
+    even = boxes.filter("plain")
+    page = even.groupBy(*keys).agg(F.min("x0").alias("px"), F.min("top").alias("py"), (F.max("x1") - F.min("x0")).alias("pw"), (F.max("bottom") - F.min("top")).alias("ph"))
+    even = even.join(page, keys)
+    column = lambda c: F.floor((c - F.col("px")) / F.col("pw") * PAGE_CELLS)
+    row = lambda c: F.floor((c - F.col("py")) / F.col("ph") * PAGE_CELLS)
+    outer = even.withColumn("cx", F.explode(F.sequence(column(F.col("x0")), column(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(row(F.col("top")), row(F.col("bottom")))))
+    named = lambda df, *more: df.select(*keys, F.col("box").alias("inner_box"), *[F.col(c).alias(f"i_{c}") for c in sides], *more)
+    inner = named(even, column((F.col("x0") + F.col("x1")) / 2).alias("cx"), row((F.col("top") + F.col("bottom")) / 2).alias("cy"))
     common = area(F.greatest(mine[0], theirs[0]), F.greatest(mine[1], theirs[1]), F.least(mine[2], theirs[2]), F.least(mine[3], theirs[3]))
-    both = tables.join(other, keys).filter(F.col("table_id") != F.col("inner_id"))
-    return both.filter((area(*mine) > area(*theirs)) & (common >= INSIDE_SHARE * area(*theirs))).select(*keys, "table_id", "inner_id")
+    holds = (area(*mine) > area(*theirs)) & (common >= INSIDE_SHARE * area(*theirs))
+    pair = lambda met: met.filter(holds).select("box", "inner_box")
+    odd = boxes.filter("not plain")
+    pairs = pair(outer.join(inner, [*keys, "cx", "cy"])).unionByName(pair(boxes.join(named(odd), keys))).unionByName(pair(odd.join(named(boxes.filter("plain")), keys)))
+    known = boxes.select(*[F.col(c).alias(f"_{c}") for c in (*keys, *sides)], "box")
+    same = [tables[k] == known[f"_{k}"] for k in keys] + [tables[c].eqNullSafe(known[f"_{c}"]) for c in sides]
+    members = tables.join(known, same).select(*keys, "table_id", "box")
+    within = members.select(F.col("box").alias("inner_box"), F.col("table_id").alias("inner_id"))
+    return members.join(pairs, "box").join(within, "inner_box").filter(F.col("table_id") != F.col("inner_id")).select(*keys, "table_id", "inner_id")
 
 
 def word_amounts(words: DataFrame, keys: list[str]) -> DataFrame:
