@@ -1,10 +1,13 @@
 """Queries on odd rows against their SQL in DuckDB."""
 
+import random
+import re
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from vellum.operators import markdown
+from vellum.operators import bags, markdown
 from vellum.plans.catalogue import ORACLES, QUERIES
 
 
@@ -38,3 +41,42 @@ def test_cells_of_odd_texts(spark, tmp_path):
     texts = ["", "\xa0a", "\x0bab", "a-\x0b\nb", "a-\n\x0bb", "\x85", "　x \n y", "\x1c-\n a", "-\n a", "-\n", " out", "\n", None, "a\x0b\n b-\n c", "0-\n\n é", "x\r\ny-\r\nz "]
     got = same(spark, tmp_path, "q48_cell_text", documents={"doc_id": list(range(len(texts))), "text": texts})
     assert len(got) == len(texts) - 3
+
+
+def _bags(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    words = ["casa", "asac", "oxE", "Exo", "aba", "rato", "otar", "Lisboa", "aobsiL"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))
+    rows = [(None if d == 9 else d, text(), text()) for d in range(10) for _ in range(1 + d % 3)] + [(11, None, "só"), (12, "só", None)]
+    df = spark.createDataFrame(rows, "doc_id int, a string, b string")
+    return df.select("doc_id", F.col("a").alias("text")), df.select("doc_id", F.col("b").alias("text"))
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_texts_are_compared_as_their_bags(spark):
+    """Keys of several rows, null keys and texts; and one shuffle, of texts, whatever is made of the comparison."""
+    a, b = _bags(spark)
+    old = bags.compare_bags(bags.word_bag(a, ["doc_id"]), bags.word_bag(b, ["doc_id"]), ["doc_id"])
+    new = bags.compare_texts(a, b, ["doc_id"])
+    assert new.columns == old.columns and _rows(new) == _rows(old)
+    made = {"coverage": bags.coverage(new, ["doc_id"]), "top": bags.top_words(new, ["doc_id"]), "same": bags.bags_equal(new, ["doc_id"]), "reversed": bags.reversed_words(new, ["doc_id"])}
+    for name, df in made.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[-1].count("Exchange ") == 1, (name, plan)
+
+
+def test_reversed_words_of_bags(spark):
+    a, b = _bags(spark)
+    compared = bags.compare_texts(a, b, ["doc_id"])
+    want, rows = [], compared.collect()
+    lost = {(r.doc_id, r.word) for r in rows if r.missing > 0}
+    for r in rows:
+        if r.extra > 0 and len(r.word) >= 4 and ((r.doc_id, r.word[::-1]) in lost or re.match("[a-zà-ÿ]{2,}[A-ZÀ-Ý]$", r.word)):
+            want.append((r.doc_id, r.word, r.word[::-1]))
+    assert _rows(bags.reversed_words(compared, ["doc_id"])) == sorted(want, key=repr) and len(want) > 5
+

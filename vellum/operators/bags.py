@@ -25,12 +25,35 @@ def compare_bags(reference: DataFrame, found: DataFrame, keys: list[str]) -> Dat
     right = found.select(*keys, "word", F.lit(0).cast("long").alias("r"), F.col("n").alias("f"), F.lit(None).cast("int").alias("rp"), F.col("first_pos").alias("fp"))
     both = left.unionByName(right).groupBy(*keys, "word")
     both = both.agg(F.sum("r").alias("n_reference"), F.sum("f").alias("n_found"), F.min("rp").alias("reference_pos"), F.min("fp").alias("found_pos"))
+    return _differences(both)
+
+
+def _differences(both: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     return both.withColumns({
         "missing": F.greatest(zero, F.col("n_reference") - F.col("n_found")), "extra": F.greatest(zero, F.col("n_found") - F.col("n_reference")),
     })
 
 
+def together(df: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of a key in one partition, so that what groups by the keys and more shuffles no more.
+
+    The number of partitions is given: texts become many times as many words, so they aren't put together by their bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def compare_texts(reference: DataFrame, found: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """compare_bags of the texts' word_bags: texts cross the network, once, and words don't."""
+    sides = [df.select(*keys, F.lit(own).alias("own"), F.col(text).alias("_text")) for df, own in ((reference, True), (found, False))]
+    words = together(sides[0].unionByName(sides[1]), keys).select(*keys, "own", F.posexplode(T.words("_text")).alias("pos", "word"))
+    own, n = F.col("own"), lambda c: F.sum(F.when(c, 1).otherwise(0).cast("long"))
+    both = words.groupBy(*keys, "word").agg(
+        n(own).alias("n_reference"), n(~own).alias("n_found"), F.min(F.when(own, F.col("pos"))).alias("reference_pos"), F.min(F.when(~own, F.col("pos"))).alias("found_pos")
+    )
+    return _differences(both)
+
+
 def coverage(compared: DataFrame, keys: list[str]) -> DataFrame:
     """keys, reference_words, found_words, coverage (1 without a reference), excess (0 without a text)."""
     sums = compared.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n_reference", "n_found", "missing", "extra")])
@@ -79,11 +102,11 @@ def top_words(compared: DataFrame, keys: list[str], side: str = "missing", most:
 
 def reversed_words(compared: DataFrame, keys: list[str]) -> DataFrame:
     """keys, found, expected: extra words that are a missing word backwards, or have that shape."""
-    lost = compared.filter("missing > 0").select(*[F.col(k).alias(f"_{k}") for k in keys], F.reverse("word").alias("_word"), F.lit(True).alias("hit"))
-    more = compared.filter((F.col("extra") > 0) & (F.length("word") >= 4))
-    on = [more[k].eqNullSafe(lost[f"_{k}"]) for k in keys] + [more["word"] == lost["_word"]]
-    both = more.join(lost, on, "left")
-    return both.filter(F.col("hit").isNotNull() | T.is_reversed("word")).select(*keys, F.col("word").alias("found"), F.reverse("word").alias("expected"))
+    changed = compared.filter("missing > 0 or extra > 0").select(*keys, "word", "missing", "extra").withColumn("_word", F.reverse("word"))
+    # A word and its reverse stand in one window, of two rows at most.
+    pair = Window.partitionBy(*keys, F.least("word", "_word"))
+    both = changed.withColumn("lost", F.collect_list(F.when(F.col("missing") > 0, F.col("word"))).over(pair)).filter((F.col("extra") > 0) & (F.length("word") >= 4))
+    return both.filter(F.array_contains("lost", F.col("_word")) | T.is_reversed("word")).select(*keys, F.col("word").alias("found"), F.col("_word").alias("expected"))
 
 
 def bags_equal(compared: DataFrame, keys: list[str]) -> DataFrame:

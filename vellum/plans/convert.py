@@ -62,7 +62,7 @@ def prepare(items: DataFrame, cells: DataFrame, doc: str = "doc_id", subtype: st
     grid = tables.grid(cells, [doc, "item_seq"]).groupBy(doc).agg(F.array_join(F.collect_list("text"), " ").alias("cells_text"))
     source = every.filter(~F.col("in_table")).groupBy(doc).agg(F.array_join(F.collect_list("text"), " ").alias("t")).join(grid, doc, "full")
     source = source.select(doc, T.repaired_markers(F.concat_ws("\n", "t", "cells_text")).alias("text"))
-    same = bags.bags_equal(bags.compare_bags(bags.word_bag(source, [doc]), bags.word_bag(rendered.select(doc, F.col("plain").alias("text")), [doc]), [doc]), [doc])
+    same = bags.bags_equal(bags.compare_texts(source, rendered.select(doc, F.col("plain").alias("text")), [doc]), [doc])
     changed = same.filter(~F.col("same")).select(doc, F.lit(0).alias("seq"), F.lit("RENDER_CONTENT").alias("rule"), F.lit(0).alias("line"), F.lit("Renderização alterou a contagem de palavras; rever o documento.").alias("message"), F.lit("error").alias("severity"))
     pictures = placed.filter("kind = 'picture'").select(doc, F.col("item_seq").alias("seq"), F.lit("IMAGE").alias("rule"), F.lit(0).alias("line"), F.concat(F.lit("Página "), F.coalesce(F.col("page_no").cast("string"), F.lit("?")), F.lit(": figura sem transcrição textual.")).alias("message"), F.lit("warning").alias("severity"))
     return {
