@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pyarrow as pa
@@ -80,3 +81,20 @@ def test_reversed_words_of_bags(spark):
             want.append((r.doc_id, r.word, r.word[::-1]))
     assert _rows(bags.reversed_words(compared, ["doc_id"])) == sorted(want, key=repr) and len(want) > 5
 
+
+def test_page_losses_in_one_shuffle(spark):
+    rng = random.Random(8)
+    page = lambda: " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 6)))
+    pages = [(d, p, page()) for d in range(12) for p in range(5)]
+    texts = [(d, " ".join(page() for _ in range(4))) for d in range(11)]
+    got = bags.page_loss(spark.createDataFrame(pages, "doc_id int, page_no int, text string"), spark.createDataFrame(texts, "doc_id int, text string"))
+    want, left = [], {d: Counter(t.split()) for d, t in texts}
+    for d, p, t in pages:
+        own, rest = Counter(t.split()), left.setdefault(d, Counter())
+        found = sum(min(n, rest[w]) for w, n in own.items())
+        for w, n in own.items():
+            rest[w] = max(0, rest[w] - n)
+        if found < sum(own.values()):
+            want.append((d, p, round(1 - found / sum(own.values()), 9)))
+    assert sorted((r.doc_id, r.page_no, round(r.loss, 9)) for r in got.collect()) == sorted(want) and want
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1

@@ -84,12 +84,13 @@ def page_loss(pages: DataFrame, text: DataFrame, key: str = "doc_id") -> DataFra
 
     A page finds what the pages before it left of each word: least(its count, total - counts before), none below zero.
     """
-    counts = pages.select(key, "page_no", F.explode(T.words("text")).alias("word")).groupBy(key, "page_no", "word").agg(F.count("*").alias("c"))
-    have = word_bag(text, [key]).select(key, "word", F.col("n").alias("total"))
-    before = Window.partitionBy(key, "word").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.coalesce("total", F.lit(0)) - F.coalesce(F.sum("c").over(before), F.lit(0))
-    found = F.greatest(F.lit(0), F.least(F.col("c"), left))
-    per = counts.join(have, [key, "word"], "left").withColumn("found", found).groupBy(key, "page_no").agg((1 - F.sum("found") / F.sum("c")).alias("loss"))
+    every = pages.select(key, F.lit(True).alias("paged"), "page_no", "text").unionByName(text.filter(F.col(key).isNotNull()).select(key, F.lit(False).alias("paged"), F.lit(None).cast(pages.schema["page_no"].dataType).alias("page_no"), "text"))
+    counts = together(every, [key]).select(key, "paged", "page_no", F.explode(T.words("text")).alias("word")).groupBy(key, "paged", "page_no", "word").agg(F.count("*").alias("c"))
+    # A word's rows: the text's count first, then the pages in order. What goes before a page's row is what the pages before it leave.
+    before = Window.partitionBy(key, "word").orderBy("paged", "page_no").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.coalesce(F.sum(F.when(F.col("paged"), -F.col("c")).otherwise(F.col("c"))).over(before), F.lit(0).cast("long"))
+    found = F.greatest(F.lit(0).cast("long"), F.least(F.col("c"), left))
+    per = counts.withColumn("found", found).filter("paged").groupBy(key, "page_no").agg((1 - F.sum("found") / F.sum("c")).alias("loss"))
     return per.filter("loss > 0")
 
 
