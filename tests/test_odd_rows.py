@@ -7,8 +7,9 @@ from collections import Counter
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
-from vellum.operators import bags, markdown
+from vellum.operators import bags, geometry, markdown
 from vellum.plans.catalogue import ORACLES, QUERIES
 
 
@@ -98,3 +99,41 @@ def test_page_losses_in_one_shuffle(spark):
             want.append((d, p, round(1 - found / sum(own.values()), 9)))
     assert sorted((r.doc_id, r.page_no, round(r.loss, 9)) for r in got.collect()) == sorted(want) and want
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+
+
+def test_frequent_margins_meet_in_parts(spark):
+    """A language's pages and its common lines are joined with a salt, not in one task."""
+    joins = [x for x in plan(QUERIES["q90_repeated_margins_removed"](spark, DATA)).split("\n") if "SortMergeJoin" in x and ("met" in x or "lang" in x)]
+    assert any("salt" in x for x in joins)
+
+
+@pytest.mark.parametrize("name", ["q06_amounts_roundtrip", "q07_amounts_reconciliation", "q57_amounts_by_place"])
+def test_orders_are_spread_by_number(spark, name):
+    """Line items are shuffled into a given number of partitions, and not again as words or amounts."""
+    shown = plan(QUERIES[name](spark, DATA))
+    assert "REPARTITION_BY_NUM" in shown and "ENSURE_REQUIREMENTS" not in shown
+
+
+def test_furniture_is_found_once(spark):
+    assert "Join" not in plan(QUERIES["q09_furniture_strip"](spark, DATA))
+
+
+def test_markdown_is_read_in_parts(spark):
+    one = spark.createDataFrame([(1, "# a")], "k int, t string").coalesce(1)
+    assert "RoundRobinPartitioning" in plan(markdown.visible_text(one, ["k"], "t"))
+
+
+def test_hidden_glyphs_go_to_four_buckets_at_most(spark):
+    df = spark.createDataFrame([(x, y) for x in (1.0, 1.45, 7.55, -0.5) for y in (3.0, 3.5)], "x double, y double")
+    near = geometry._near(df, df.x, df.y, True)
+    counts = [r["count"] for r in near.groupBy("x", "y").count().collect()]
+    assert max(counts) == 4 and min(counts) == 1
+    for r in near.collect():
+        assert abs(r.bx - r.x) <= 0.75 and abs(r.by - r.y) <= 0.75

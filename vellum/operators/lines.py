@@ -47,6 +47,19 @@ def strip_furniture(lines: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.select(*keys, "line_no", F.when(~drop & ((T.strip(cleaned) != "") | (plain == "")), cleaned).alias("text"), removed.alias("removed"))
 
 
+#: How many parts the rows of one key come in where they meet a row of few.
+SALTS = 64
+
+
+def salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def salted(few: DataFrame) -> DataFrame:
+    """A row for each salt, for joins with rows of which very many have one key."""
+    return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def repeated_margins(lines: DataFrame, doc: str = "doc_id", page: str = "page_no", in_table: Column | None = None, least: int = 3) -> DataFrame:
     """doc, text, pages: lines in the margins of half the pages, and of `least` at least. Table lines count for place only."""
     in_table = F.lit(False) if in_table is None else in_table
@@ -61,13 +74,16 @@ def repeated_margins(lines: DataFrame, doc: str = "doc_id", page: str = "page_no
 def remove_repeated(lines: DataFrame, doc: str = "doc_id", page: str = "page_no", in_table: Column | None = None) -> DataFrame:
     """Lines of pages without furniture and without what repeats in the margins; tables stay whole."""
     in_table = F.lit(False) if in_table is None else in_table
-    often = repeated_margins(lines, doc, page, in_table).select(doc, F.col("text").alias("plain"), F.lit(True).alias("often"))
+    # Twelve lines of a document at most, as a page has six in its margins; only those of margins need to meet them.
+    often = salted(repeated_margins(lines, doc, page, in_table).select(doc, F.col("text").alias("met"), F.lit(True).alias("often")))
     ranked, full = _filled_ranks(lines, [doc, page])
     zone = F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.col("filled") / 4)))
-    ranked = ranked.withColumn("plain", T.strip("text")).join(often, [doc, "plain"], "left")
-    rest = T.without_header_prefix("plain")
     text = full & ~in_table
-    margin = text & (F.least("up", "down") <= zone) & (F.col("often").isNotNull() | T.one_of(F.col("plain"), r"^\p{Nd}+$", P.BROKEN_FOOTER))
+    at_end = text & (F.least("up", "down") <= zone)
+    ranked = ranked.withColumns({"plain": T.strip("text"), "at_end": at_end}).withColumns({"met": F.when(F.col("at_end"), F.col("plain")).otherwise(""), "salt": salt(page, "line_no")})
+    ranked = ranked.join(often, [doc, "met", "salt"], "left")
+    rest = T.without_header_prefix("plain")
+    margin = F.col("at_end") & (F.col("often").isNotNull() | T.one_of(F.col("plain"), r"^\p{Nd}+$", P.BROKEN_FOOTER))
     kept = F.when(text & (T.is_furniture("plain") | margin), None).when(text & (rest != F.col("plain")), F.nullif(rest, F.lit(""))).otherwise(F.col("text"))
     return ranked.withColumn("text", kept).filter(F.col("text").isNotNull()).select(*lines.columns)
 
