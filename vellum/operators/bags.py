@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +45,10 @@ def together(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def compare_texts(reference: DataFrame, found: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """compare_bags of the texts' word_bags: texts cross the network, once, and words don't."""
+def compare_texts(reference: DataFrame, found: DataFrame, keys: list[str], text: str = "text", items: Callable[[str], Column] = T.words) -> DataFrame:
+    """compare_bags of the bags of the texts' words (or other items): texts cross the network, once, and words don't."""
     sides = [df.select(*keys, F.lit(own).alias("own"), F.col(text).alias("_text")) for df, own in ((reference, True), (found, False))]
-    words = together(sides[0].unionByName(sides[1]), keys).select(*keys, "own", F.posexplode(T.words("_text")).alias("pos", "word"))
+    words = together(sides[0].unionByName(sides[1]), keys).select(*keys, "own", F.posexplode(items("_text")).alias("pos", "word"))
     own, n = F.col("own"), lambda c: F.sum(F.when(c, 1).otherwise(0).cast("long"))
     both = words.groupBy(*keys, "word").agg(
         n(own).alias("n_reference"), n(~own).alias("n_found"), F.min(F.when(own, F.col("pos"))).alias("reference_pos"), F.min(F.when(~own, F.col("pos"))).alias("found_pos")
@@ -117,8 +119,7 @@ def bags_equal(compared: DataFrame, keys: list[str]) -> DataFrame:
 
 def reconcile_amounts(reference: DataFrame, text: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
     """keys, missing, extra (maps amount -> count) for documents whose amounts differ."""
-    bag = lambda df: array_bag(df.select(*keys, T.amounts(column).alias("found")), keys, "found")
-    compared = compare_bags(bag(reference), bag(text), keys).filter("missing > 0 or extra > 0")
+    compared = compare_texts(reference, text, keys, column, T.amounts).filter("missing > 0 or extra > 0")
     entries = lambda side: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(side) > 0, F.struct("word", side)))))
     return compared.groupBy(*keys).agg(entries("missing").alias("missing"), entries("extra").alias("extra"))
 
