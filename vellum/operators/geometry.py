@@ -115,12 +115,13 @@ def page_direction(chars: DataFrame, keys: list[str], least: int = LEAST_ROTATED
 
 
 def _near(df: DataFrame, x: Column, y: Column, spread: bool) -> DataFrame:
-    """Adds bucket keys bx, by of the rounded place; spread: a row for each of the nine buckets around it."""
+    """Adds bucket keys bx, by of the rounded place; spread: a row for each bucket, four at most, that a glyph within the
+    tolerance can lie in."""
     bx, by = F.round(x).cast("long"), F.round(y).cast("long")
     if not spread:
         return df.withColumns({"bx": bx, "by": by})
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return df.withColumn("step", F.explode(steps)).withColumns({"bx": bx + F.col("step.i"), "by": by + F.col("step.j")}).drop("step")
+    ends = lambda c: F.array_distinct(F.array(F.round(c - 2 * ORIGIN_TOLERANCE).cast("long"), F.round(c + 2 * ORIGIN_TOLERANCE).cast("long")))
+    return df.withColumn("bx", F.explode(ends(x))).withColumn("by", F.explode(ends(y)))
 
 
 def drop_hidden(chars: DataFrame, hidden: DataFrame, keys: list[str]) -> DataFrame:
